@@ -63,8 +63,26 @@ SELECT key, first_epoch, rate, draw FROM drawn WHERE draw < rate
 """
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    from corvelo.llm.packing import pack_texts, token_counter
+
+    return pack_texts(table(spark, folder, "documents"), token_counter(spark)(F.col("text")))
+
+
+def p7_unused(spark: SparkSession, folder: str) -> DataFrame:
+    from corvelo.llm.packing import unused_space
+
+    return unused_space(p7_containers(spark, folder), 2048)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    from corvelo.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p5_sample": p5_sample}
+    return {f.__name__: f for f in (p1_found, p1_unified, p3_found, p5_sample, p7_containers, p7_unused, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
