@@ -63,6 +63,14 @@ SELECT key, first_epoch, rate, draw FROM drawn WHERE draw < rate
 """
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from corvelo.llm.align import align_passages
+
+    review = table(spark, folder, "translation_eval_alignment_review")
+    passages = table(spark, folder, "translation_benchmark_passages").join(review.select("pair_id"), "pair_id", "left_anti")
+    return align_passages(passages, review.where(F.col("review_status") == "accept"))
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     from corvelo.llm.packing import pack_texts, token_counter
 
@@ -82,7 +90,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_unified, p3_found, p5_sample, p7_containers, p7_unused, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_unified, p3_found, p5_sample, p6_found, p7_containers, p7_unused, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
