@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,36 @@ def prepare_checkpoints(spark: SparkSession) -> None:
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Writes the frame to the checkpoint folder and goes on from there. Survives executor loss."""
-    prepare_checkpoints(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Writes the frame as a table into the checkpoint folder and goes on from there.
+
+    Survives the loss of executors. Unlike `checkpoint()`, the table has its true size, so small ones may
+    be broadcast behind Spark's own check, and loops do not pile up estimates (a checkpointed frame keeps
+    those of its plan, which multiply with each join). Tables go when the application ends, or earlier by
+    `drop_cut`.
+    """
+    spark = frame.sparkSession
+    prepare_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    written = spark.read.schema(frame.schema).parquet(path)
+    written._cut = path
+    return written
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that `cut_lineage` returned and nothing uses any more."""
+    for frame in frames:
+        if path := getattr(frame, "_cut", None):
+            spark = frame.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package, also where the driver's path is not theirs by default."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held]))
