@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvelo.functions.ranking import spread_row_number
-from corvelo.session import cut_lineage
+from corvelo.session import cut_lineage, drop_cut
 
 
 def spring_strengths(comparisons: DataFrame, group: str = "group", pull: float = 0.01, tolerance: float = 1e-9, most_iterations: int = 200) -> DataFrame:
@@ -32,18 +32,19 @@ def spring_strengths(comparisons: DataFrame, group: str = "group", pull: float =
     )
     springs = cut_lineage(both.groupBy(group, "item", "other").agg(F.sum("n").alias("n"), F.sum("net").alias("net")))
     state = springs.groupBy(group, "item").agg(F.sum("n").alias("compared"), F.sum("net").alias("r")).withColumn("diag", F.col("compared") + F.lit(pull))
-    state = cut_lineage(state.select(group, "item", "compared", "diag", F.lit(0.0).alias("x"), "r", (F.col("r") / F.col("diag")).alias("p")))
+    state = moved = cut_lineage(state.select(group, "item", "compared", "diag", F.lit(0.0).alias("x"), "r", (F.col("r") / F.col("diag")).alias("p")))
     rho = state.agg(F.sum(F.col("r") * F.col("r") / F.col("diag"))).first()[0] or 0.0
     start, turn = rho, 0
     while rho > tolerance * tolerance * start and rho > 0:
         if turn == most_iterations:
             raise RuntimeError(f"no convergence after {turn} iterations")
         pulled = springs.join(state.select(group, F.col("item").alias("other"), "p"), [group, "other"]).groupBy(group, "item").agg(F.sum(F.col("n") * F.col("p")).alias("pulled"))
-        moved = cut_lineage(state.join(pulled, [group, "item"]).withColumn("q", F.col("diag") * F.col("p") - F.col("pulled")).drop("pulled"))
+        last, moved = moved, cut_lineage(state.join(pulled, [group, "item"]).withColumn("q", F.col("diag") * F.col("p") - F.col("pulled")).drop("pulled"))
+        drop_cut(last)
         step = rho / moved.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        moved = moved.withColumn("x", F.col("x") + step * F.col("p")).withColumn("r", F.col("r") - step * F.col("q"))
-        new = moved.agg(F.sum(F.col("r") * F.col("r") / F.col("diag"))).first()[0]
-        state = moved.withColumn("p", F.col("r") / F.col("diag") + F.lit(new / rho) * F.col("p")).drop("q")
+        now = moved.withColumn("x", F.col("x") + step * F.col("p")).withColumn("r", F.col("r") - step * F.col("q"))
+        new = now.agg(F.sum(F.col("r") * F.col("r") / F.col("diag"))).first()[0]
+        state = now.withColumn("p", F.col("r") / F.col("diag") + F.lit(new / rho) * F.col("p")).drop("q")
         rho, turn = new, turn + 1
     return state.select(group, "item", F.col("x").alias("strength"), "compared")
 

@@ -58,6 +58,26 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return rank_models(table(spark, folder, "translation_eval_pairwise_decisions")).select("direction", "rank_no", "model")
 
 
+def _links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Confidences of all pairs of papers and works, and the papers that hold a link already."""
+    from corvelo.llm.linkage import link_papers
+
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    fields = [F.struct(blank("venue_key").alias("venue_key"), blank("paper_id").alias("paper_id")).alias("paper_key"), F.col("title"), F.col("authors").alias("names"), "doi", "year", F.col("venue_key").alias("venue")]
+    keyed = (blank("venue_key").isNotNull()) & (blank("paper_id").isNotNull())
+    papers = table(spark, folder, "paper").where(keyed).select(*fields)
+    reconciled = table(spark, folder, "reconciled")
+    held = reconciled.select("paper.*", "openalex_id").where(keyed & F.col("openalex_id").isNotNull() & (F.col("openalex_id") != ""))
+    known = held.select(fields[0], F.col("openalex_id").alias("work_id")).distinct()
+    works = table(spark, folder, "openalex_work").select(F.col("openalex_id").alias("work_id"), "title", F.col("author_names").alias("names"), "doi", F.col("publication_year").alias("year"), F.col("source_name").alias("venue"))
+    return link_papers(papers, works, known), known.select("paper_key").distinct()
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    links, held = _links(spark, folder)
+    return links.where("confidence >= 0.5").join(held, "paper_key", "left_anti").select("paper_key.venue_key", "paper_key.paper_id", F.col("work_id").alias("openalex_id")).distinct()
+
+
 def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     from corvelo.llm.sample import extend_ledger, halving_rates, paper_key
 
@@ -106,7 +126,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_unified, p2_found, p3_found, p5_sample, p6_found, p7_containers, p7_unused, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_unified, p2_found, p3_found, p4_found, p5_sample, p6_found, p7_containers, p7_unused, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
