@@ -125,8 +125,16 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    from corvelo.llm.subjects import assign_subjects
+
+    labels = table(spark, folder, "subject_label")
+    found = assign_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_area"), labels)
+    return found.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "subject").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_unified, p2_found, p3_found, p4_found, p5_sample, p6_found, p7_containers, p7_unused, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_unified, p2_found, p3_found, p4_found, p5_sample, p6_found, p7_containers, p7_unused, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
