@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvelo.session import table
+from corvelo.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,12 +42,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     source = lambda p: F.concat_ws("|", f"{p}venue_key", F.coalesce(F.nullif(f"{p}paper_id", F.lit("")), F.col(f"{p}title")))
     held = table(spark, folder, "reconciled").select("seq", source("paper.").alias("source"), F.posexplode("affiliations").alias("pos", "a"))
     held = held.select("seq", "source", "pos", F.col("a.institution_name").alias("name"), F.nullif("a.country_code", F.lit("")).alias("country"), F.nullif("a.institution_id", F.lit("")).alias("entity_id"))
-    found = attribute_organisations(held).select("name", F.col("country").alias("home"), F.col("entity_id").alias("found"))
+    found = cut_lineage(attribute_organisations(held)).select("name", F.col("country").alias("home"), F.col("entity_id").alias("found"))
     open_ = held.where("entity_id IS NULL").join(found, "name").where(F.col("country").eqNullSafe(F.col("home")))
     organisations = open_.select(F.lit("institution_name").alias("field"), "seq", "pos", F.col("found").alias("entity_id"))
     written = table(spark, folder, "paper").select("seq", source("").alias("source"), F.posexplode("authors").alias("pos", "name"))
     profiles = table(spark, folder, "author_profile").select(F.col("profile_id").alias("entity_id"), F.col("preferred_name").alias("preferred"))
-    people = written.join(attribute_people(written, profiles).select("name", "entity_id"), "name")
+    people = written.join(cut_lineage(attribute_people(written, profiles)).select("name", "entity_id"), "name")
     people = people.join(profiles.distinct(), "entity_id").where(F.col("name") != F.col("preferred"))
     return organisations.unionByName(people.select(F.lit("authors").alias("field"), "seq", "pos", "entity_id")).distinct()
 

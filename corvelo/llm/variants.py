@@ -115,10 +115,11 @@ def attribute_organisations(mentions: DataFrame, spread: int = 6, settled: int =
     """
     rows = mentions.where(F.length("name") > 0).groupBy("name", F.nullif("country", F.lit("")).alias("country"), F.nullif("entity_id", F.lit("")).alias("entity_id")).agg(F.count_distinct("source").alias("n"))
     spelled = rows.select("name").distinct().withColumn("words", F.array_distinct(name_words("name")))
-    rows = rows.join(spelled, "name")
+    rows = cut_lineage(rows.join(spelled, "name"))
+    spelled = rows.select("name", "words").distinct()
     resolved, open_ = rows.where("entity_id IS NOT NULL"), rows.where("entity_id IS NULL")
-    seen = resolved.select("entity_id", "n", F.explode("words").alias("w")).groupBy("entity_id", "w").agg(F.sum("n").alias("n"))
-    common = seen.groupBy("w").agg(F.count(F.lit(1)).alias("ids")).where(F.col("ids") >= spread).select("w")
+    seen = cut_lineage(resolved.select("entity_id", "n", F.explode("words").alias("w")).groupBy("entity_id", "w").agg(F.sum("n").alias("n")))
+    common = cut_lineage(seen.groupBy("w").agg(F.count(F.lit(1)).alias("ids")).where(F.col("ids") >= spread).select("w"))
     size = resolved.groupBy("entity_id").agg(F.sum("n").alias("size"))
     proper = seen.join(common, "w", "left_anti")
     place = proper.groupBy("entity_id").agg(F.max_by("w", F.struct("n", F.length("w"), "w")).alias("place"))
@@ -126,12 +127,12 @@ def attribute_organisations(mentions: DataFrame, spread: int = 6, settled: int =
     # kinds: the common words that most rows of a settled organisation share, where another shares them
     kinds = seen.join(common, "w").join(size, "entity_id").where((F.col("size") >= settled) & (F.col("n") >= 0.4 * F.col("size"))).groupBy("entity_id").agg(F.array_sort(F.collect_set("w")).alias("parts"))
     shared = kinds.groupBy("parts").agg(F.count(F.lit(1)).alias("ids")).where("ids > 1").select("parts")
-    kinds = kinds.join(shared, "parts", "left_semi").select("entity_id", "parts", F.array_join("parts", " ").alias("kind"))
+    kinds = cut_lineage(kinds.join(shared, "parts", "left_semi").select("entity_id", "parts", F.array_join("parts", " ").alias("kind")))
     # how likely a common word is with a kind
     by_kind = size.join(kinds, "entity_id").groupBy("kind", "parts").agg(F.sum("size").alias("total"))
     share = F.least(F.lit(0.98), (F.col("n") + 0.1) / (F.col("total") + 1))
     with_kind = seen.join(common, "w").join(kinds, "entity_id").groupBy("kind", "parts", "w").agg(F.sum("n").alias("n")).join(by_kind.drop("parts"), "kind")
-    likely = with_kind.select("kind", "w", F.log(share).alias("lp"), F.when(F.array_contains("parts", F.col("w")), F.log(1 - share)).otherwise(0.0).alias("without"))
+    likely = cut_lineage(with_kind.select("kind", "w", F.log(share).alias("lp"), F.when(F.array_contains("parts", F.col("w")), F.log(1 - share)).otherwise(0.0).alias("without")))
     rest = by_kind.select("kind", F.log(0.1 / (F.col("total") + 1)).alias("lp0")).join(likely.groupBy("kind").agg(F.sum("without").alias("bare")), "kind")
     # the likelihood of every name by kind, kinds being few: each word held, each word of the kind left out
     words = spelled.select("name", F.explode("words").alias("w"))
@@ -142,14 +143,14 @@ def attribute_organisations(mentions: DataFrame, spread: int = 6, settled: int =
     kind_scores = cut_lineage(kind_scores)
     own_kind = kind_scores.groupBy("name").agg(F.max_by("kind", F.struct("kind_score", "kind")).alias("kind"))
     summed = resolved.join(kind_scores, "name").groupBy("entity_id", "kind").agg(F.sum(F.col("n") * F.col("kind_score")).alias("fit"))
-    kinds = summed.groupBy("entity_id").agg(F.max_by("kind", F.struct("fit", "kind")).alias("kind"))
+    kinds = cut_lineage(summed.groupBy("entity_id").agg(F.max_by("kind", F.struct("fit", "kind")).alias("kind")))
     # entities: those with an identifier, and frequent names of none
-    known = size.join(place, "entity_id").join(kinds, "entity_id").join(country, "entity_id", "left").select("entity_id", "place", "kind", "home", "size")
-    proper_words = words.join(common, "w", "left_anti").join(open_.select("name").distinct(), "name")
+    known = cut_lineage(size.join(place, "entity_id").join(kinds, "entity_id").join(country, "entity_id", "left").select("entity_id", "place", "kind", "home", "size"))
+    proper_words = cut_lineage(words.join(common, "w", "left_anti").join(open_.select("name").distinct(), "name"))
     counted = open_.groupBy("name").agg(F.sum("n").alias("n"), F.max_by("country", F.struct("n", "country")).alias("home"))
     nameless = proper_words.join(counted, "name").join(own_kind, "name").groupBy(F.col("w").alias("place"), "kind").agg(F.sum("n").alias("size"), F.max_by("home", "n").alias("home")).where("size > 1")
     nameless = nameless.join(known.select("place", "kind"), ["place", "kind"], "left_anti").join(proper.join(kinds, "entity_id").select(F.col("w").alias("place"), "kind").distinct(), ["place", "kind"], "left_anti")
-    entities = known.unionByName(nameless.withColumn("entity_id", F.lit(None).cast("string")))
+    entities = cut_lineage(known.unionByName(nameless.withColumn("entity_id", F.lit(None).cast("string"))))
     # the channel
     near = close_words(proper_words.select(F.col("w").alias("a")), entities.select(F.col("place").alias("b")))
     typed = proper_words.join(near.select(F.col("a").alias("w"), F.col("b").alias("place"), (-typo * F.col("d")).alias("typed")), "w").join(entities, "place")
@@ -157,6 +158,7 @@ def attribute_organisations(mentions: DataFrame, spread: int = 6, settled: int =
     seen_so = proper_words.join(observed, "w").join(known, "entity_id").select("name", "place", "kind", "home", "size", "entity_id", F.col("observed").alias("typed"))
     pairs = typed.select("name", "place", "kind", "home", "size", "entity_id", "typed").unionByName(seen_so)
     pairs = pairs.groupBy("name", "place", "kind", "entity_id").agg(F.max("typed").alias("typed"), F.first("home", True).alias("home"), F.max("size").alias("size")).join(kind_scores, ["name", "kind"])
+    pairs = cut_lineage(pairs)
     named = open_.select("name", "country").distinct().join(pairs, "name")
     abroad = F.when(F.col("country") != F.col("home"), -foreign).otherwise(0.0)
     named = named.withColumn("score", F.log(F.col("size").cast("double")) + F.col("typed") + F.col("kind_score") + F.coalesce(abroad, F.lit(0.0)))
@@ -227,6 +229,7 @@ def attribute_people(mentions: DataFrame, profiles: DataFrame, typo: float = 3.0
     middle_of = lambda words: F.get(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""), F.lit(0))
     people = people.where(F.size("words") > 1).select("entity_id", "preferred", F.element_at("words", 1).alias("given"), middle_of(F.col("words")).alias("middle"), last.alias("surname"))
     people = people.join(rows.select(F.col("name").alias("preferred"), "n"), "preferred", "left").select("entity_id", "given", "middle", "surname", (F.coalesce("n", F.lit(0)) + 1).alias("size"))
+    people = cut_lineage(people)
     # persons without a profile: full names in the usual order
     full = rows.where((F.size("words") > 1) & (F.length(F.element_at("words", 1)) > 2) & (F.length(last) > 2)).select(F.element_at("words", 1).alias("given"), middle_of(F.col("words")).alias("middle"), last.alias("surname"), "n")
     givens = people.select("given").distinct()
@@ -240,13 +243,13 @@ def attribute_people(mentions: DataFrame, profiles: DataFrame, typo: float = 3.0
     rest = F.expr("filter(words, (x, i) -> i <> at)")
     long_first = F.coalesce(F.get(F.filter(rest, lambda x: F.length(x) > 1), F.lit(0)), F.get(rest, F.lit(0)))
     found = parts.join(near, "w").select("name", "d", "surname", rest.alias("rest"), F.when(F.length(F.get(rest, F.lit(0))) > 1, F.get(rest, F.lit(0))).otherwise(long_first).alias("used"))
-    found = found.withColumn("middles", F.expr("filter(rest, (x, i) -> i <> array_position(rest, used) - 1)")).drop("rest")
+    found = cut_lineage(found.withColumn("middles", F.expr("filter(rest, (x, i) -> i <> array_position(rest, used) - 1)")).drop("rest"))
     exact = found.where((F.col("d") == 0) & (F.length("used") > 1)).select("used", "surname").distinct().join(people.select("given", "surname").distinct(), "surname")
     exact = exact.where(F.substring("used", 1, 3) != F.substring("given", 1, 3)).where(F.levenshtein("used", "given") > 1)
-    nicknames = learn_nicknames(exact)
+    nicknames = cut_lineage(learn_nicknames(exact))
     pairs = found.join(persons, "surname").join(nicknames, ["used", "given"], "left")
     pairs = pairs.withColumn("score", F.log(F.col("size").cast("double")) - typo * F.col("d") + given_likelihood("used", "given", "middles", "middle", F.coalesce("nick", F.lit(False))))
-    pairs = pairs.groupBy("name", "entity_id", "given", "surname").agg(F.max("score").alias("score"))
+    pairs = cut_lineage(pairs.groupBy("name", "entity_id", "given", "surname").agg(F.max("score").alias("score")))
     best = pairs.groupBy("name").agg(F.max_by("entity_id", F.struct("score", "given", "surname")).alias("entity_id"), F.max("score").alias("top"), F.collect_list("score").alias("scores"))
     total = F.aggregate("scores", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     return best.where("entity_id IS NOT NULL").select("name", "entity_id", (1 / (total + F.exp(F.lit(unknown) - F.col("top")))).alias("posterior")).where("posterior >= 0.5")
