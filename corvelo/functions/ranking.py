@@ -30,3 +30,19 @@ def spread_row_number(frame: DataFrame, group: list[str], value: str, tie: str,
         .withColumn(into, (F.col("_above") + F.row_number().over(inside)).cast("int"))
         .drop("_above", "_part")
     )
+
+
+def competition_rank(value, scope: list[str]):
+    """Rank 1, 2, 2, 4 by value descending within `scope`; nulls last. Rank unrounded values."""
+    return F.rank().over(Window.partitionBy(*scope).orderBy(F.col(value).desc_nulls_last()))
+
+
+def positional_rank(value, code: str, scope: list[str]):
+    """Rank 1, 2, 3, 4 by value descending, ties by `code` descending."""
+    return F.row_number().over(Window.partitionBy(*scope).orderBy(F.col(value).desc_nulls_last(), F.col(code).desc()))
+
+
+def numbered(frame: DataFrame, group: list[str], order: list[str], prefix: str, into: str) -> DataFrame:
+    """Ordinal ids such as `en01`, counted within `group`."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return frame.withColumn(into, F.concat(F.lit(prefix), F.lpad(place.cast("string"), F.greatest(F.lit(2), F.length(place.cast("string"))), F.lit("0"))))
