@@ -181,16 +181,6 @@ def classify_units(units: Column, patterns: dict[str, tuple[str, str | None]]) -
     return F.array_compact(F.array(*(F.when(found(*p), F.lit(name)) for name, p in patterns.items())))
 
 
-def repetition(text: Column, n: int = 4, least: int = 4) -> Column:
-    """(flagged, max_occurrences, repeated_ngram) of the most frequent n-gram of a text, the first of ties."""
-    grams = ngrams(plain_tokens(F.coalesce(text, F.lit(""))), n)
-    different = F.array_distinct(grams)
-    ordered = F.array_sort(grams)
-    counted = F.transform(different, lambda g: F.struct(F.size(F.filter(ordered, lambda x: x == g)).alias("n"), (-F.array_position(different, g)).alias("at"), g.alias("gram")))
-    best = F.array_max(counted)
-    return F.struct(F.coalesce(best["n"] >= least, F.lit(False)).alias("flagged"), F.coalesce(best["n"], F.lit(0)).alias("max_occurrences"), F.coalesce(best["gram"], F.lit("")).alias("repeated_ngram"))
-
-
 def lexically_supported(name: Column, text: Column, generic: list[str], least: int = 2) -> Column:
     """Whether a key occurs whole in a text key, or shares `least` words that are not generic."""
     shared = F.array_intersect(F.array_except(F.split(name, " "), F.array(*map(F.lit, generic))), F.split(text, " "))

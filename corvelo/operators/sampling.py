@@ -75,7 +75,7 @@ def human_sample(candidates: DataFrame, cap: int = 18, each: int = 3, fallback:
     hash order to what could be picked, are decided in one task."""
     h = stable_key("segment_id", "stratum")
     thin = hash_top(candidates, ["stratum"], cap + each, h).withColumn("_h", h)
-    schema = candidates.schema.add("sample_id", "string").add("swap", "boolean")
+    schema = candidates.select("*", F.lit("").alias("sample_id"), F.lit(True).alias("swap")).schema
 
     def pick(pdf):
         pdf = pdf.sort_values(["stratum", "_h"]).reset_index(drop=True)
@@ -96,4 +96,4 @@ def human_sample(candidates: DataFrame, cap: int = 18, each: int = 3, fallback:
         out["swap"] = [int(hashlib.sha256(str(g).encode()).hexdigest()[-1], 16) % 2 == 1 for g in out["segment_id"]]
         return out
 
-    return thin.groupBy(F.lit(1)).applyInPandas(lambda pdf: pick(pdf), schema)
+    return thin.groupBy().applyInPandas(lambda pdf: pick(pdf), schema)
