@@ -88,7 +88,7 @@ def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
 P5_SAMPLE_SQL = """
 WITH keyed AS (
   SELECT coalesce('id|' || coalesce(nullif(trim(venue_key), ''), '') || '|' || nullif(trim(paper_id), ''),
-                  'title|' || nullif(trim(title), '')) AS key, coalesce(batch_no, 0) AS epoch, seq
+                  'title|' || nullif(regexp_replace(title, '^ +| +$', '', 'g'), '')) AS key, coalesce(batch_no, 0) AS epoch, seq
   FROM paper),
 first AS (SELECT key, arg_min(epoch, seq) AS first_epoch FROM keyed WHERE key IS NOT NULL GROUP BY key),
 drawn AS (

@@ -139,7 +139,7 @@ def attribute_organisations(mentions: DataFrame, spread: int = 6, settled: int =
     of_kind = words.join(common, "w").select("name", "w")
     scored = of_kind.join(likely, "w").join(rest, "kind").groupBy("name", "kind").agg(F.sum(F.col("lp") - F.col("lp0") - F.col("without")).alias("over"))
     held = of_kind.groupBy("name").agg(F.count(F.lit(1)).alias("held"))
-    kind_scores = held.join(rest).join(scored, ["name", "kind"], "left").select("name", "kind", (F.coalesce("over", F.lit(0.0)) + F.col("held") * F.col("lp0") + F.col("bare")).alias("kind_score"))
+    kind_scores = held.join(F.broadcast(rest)).join(scored, ["name", "kind"], "left").select("name", "kind", (F.coalesce("over", F.lit(0.0)) + F.col("held") * F.col("lp0") + F.col("bare")).alias("kind_score"))
     kind_scores = cut_lineage(kind_scores)
     own_kind = kind_scores.groupBy("name").agg(F.max_by("kind", F.struct("kind_score", "kind")).alias("kind"))
     summed = resolved.join(kind_scores, "name").groupBy("entity_id", "kind").agg(F.sum(F.col("n") * F.col("kind_score")).alias("fit"))
