@@ -37,6 +37,11 @@ def casefold(values: pd.Series) -> pd.Series:
     return _per_value(values, str.casefold)
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once per row, also where lambdas refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def collapse(text: Column) -> Column:
     """White space of any kind as single spaces, trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -135,8 +140,12 @@ def noted_countries(note: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by spaces; none for a shorter list."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
 
 
 def plain_tokens(text: Column) -> Column:
@@ -171,14 +180,14 @@ def classify_units(units: Column, patterns: dict[str, tuple[str, str | None]]) -
     """Dimensions found in a text's units: a unit matches the first pattern and, read after the title (unit
     0), not the second."""
 
-    def found(include: str, exclude: str | None) -> Column:
+    def found(u: Column, include: str, exclude: str | None) -> Column:
         def hit(unit: Column, i: Column) -> Column:
-            context = F.when(i == 0, unit).otherwise(F.concat_ws(". ", F.get(units, F.lit(0)), unit))
+            context = F.when(i == 0, unit).otherwise(F.concat_ws(". ", F.get(u, F.lit(0)), unit))
             return unit.rlike(include) & (~context.rlike(exclude) if exclude else F.lit(True))
 
-        return F.size(F.filter(units, hit)) > 0
+        return F.size(F.filter(u, hit)) > 0
 
-    return F.array_compact(F.array(*(F.when(found(*p), F.lit(name)) for name, p in patterns.items())))
+    return let(units, lambda u: F.array_compact(F.array(*(F.when(found(u, *p), F.lit(name)) for name, p in patterns.items()))))
 
 
 def lexically_supported(name: Column, text: Column, generic: list[str], least: int = 2) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvelo.functions.text import let
 from corvelo.operators.checks import require_covered
 
 
@@ -83,9 +84,9 @@ def merge_affiliations(items: Column) -> Column:
     supersedes unresolved ones of its name. Order of first appearance."""
     same = lambda a, b: (affiliation_key(a["institution_name"]) == affiliation_key(b["institution_name"])) & (F.coalesce(a["country_code"], F.lit("")) == F.coalesce(b["country_code"], F.lit("")))
     resolved = lambda a: F.coalesce(a["institution_id"], F.lit("")) != ""
-    kept = F.filter(items, lambda a: resolved(a) | ~F.exists(items, lambda b: resolved(b) & (affiliation_key(a["institution_name"]) == affiliation_key(b["institution_name"]))))
-    empty = F.filter(kept, lambda a: F.lit(False))
-    return F.aggregate(kept, empty, lambda done, a: F.concat(F.filter(done, lambda b: ~same(a, b)), F.array(a)))
+    superseded = lambda all_, a: ~resolved(a) & F.exists(all_, lambda b: resolved(b) & (affiliation_key(a["institution_name"]) == affiliation_key(b["institution_name"])))
+    kept = let(items, lambda all_: F.filter(all_, lambda a: ~superseded(all_, a)))
+    return let(kept, lambda k: F.aggregate(k, F.slice(k, 1, 0), lambda done, a: F.concat(F.filter(done, lambda b: ~same(a, b)), F.array(a))))
 
 
 def replace_group(base: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:

@@ -107,10 +107,10 @@ def mad_features(spark: SparkSession, folder: str) -> DataFrame:
     return X.median_absolute_deviation(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
-@query("""WITH v AS (SELECT l_orderkey, arg_min([l_quantity, l_discount, l_tax], l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey) AS a, arg_max([l_quantity, l_discount, l_tax], l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey) AS b FROM lineitem GROUP BY 1)
+@query("""WITH v AS (SELECT l_orderkey, arg_min([l_quantity, l_discount, l_tax], [CAST(l_linenumber AS DOUBLE), l_partkey, l_suppkey, l_quantity, l_discount, l_tax]) AS a, arg_max([l_quantity, l_discount, l_tax], [CAST(l_linenumber AS DOUBLE), l_partkey, l_suppkey, l_quantity, l_discount, l_tax]) AS b FROM lineitem GROUP BY 1)
 SELECT l_orderkey, 1 - list_sum(list_transform([1, 2, 3], lambda i: CASE WHEN a[i] <> b[i] THEN 1 ELSE 0 END)) / 3 AS sparsity, list_sum(list_transform([1, 2, 3], lambda i: abs(a[i] - b[i]) / [12.0, 0.03, 0.02][i])) / 3 AS distance FROM v""")
 def sparsity_metric(spark: SparkSession, folder: str) -> DataFrame:
-    at = F.col("l_linenumber").cast("bigint") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", *FEATURES)
     line = F.array(*FEATURES)
     v = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.min_by(line, at).alias("a"), F.max_by(line, at).alias("b"))
     return v.select("l_orderkey", X.sparsity(F.col("a"), F.col("b")).alias("sparsity"), X.scaled_distance(F.col("a"), F.col("b"), F.array(F.lit(12.0), F.lit(0.03), F.lit(0.02))).alias("distance"))

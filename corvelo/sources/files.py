@@ -25,7 +25,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where):
         return spark.createDataFrame([], schema)
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", schema.add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    parsed = lines.select("value", F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     if bad := parsed.where("r._bad IS NOT NULL").select("value").take(1):
         number = spark.sparkContext.textFile(path).zipWithIndex().filter(lambda x, text=bad[0][0]: x[0] == text).map(lambda x: x[1] + 1).take(1)
         raise ValueError(f"{path}: line {number[0] if number else '?'} is not JSON")
