@@ -52,7 +52,7 @@ def terms(sentence: str) -> set[str]:
 def _read(documents: DataFrame) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"], "title": pd.Series([" ".join(plain_words(t)) for t in frame["title"]], dtype=object, index=frame.index), "sentences": pd.Series([[{"paragraph": k, "words": w} for k, w in sentences(t)] for t in frame["text"]], dtype=object, index=frame.index)})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"].astype(object), "title": pd.Series([" ".join(plain_words(t)) for t in frame["title"]], dtype=object, index=frame.index), "sentences": pd.Series([[{"paragraph": k, "words": w} for k, w in sentences(t)] for t in frame["text"]], dtype=object, index=frame.index)})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "source", "title", "text").mapInPandas(read, f"doc_id {kind}, source string, title string, sentences array<struct<paragraph:int,words:string>>")
@@ -119,7 +119,7 @@ def learn_terms(rows: DataFrame, labels: DataFrame, subjects: list[str], least:
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(width, dtype=np.int64))
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"term": list(counts), "n": pd.Series([c.tolist() for c in counts.values()], dtype=object)})
+            out = pd.DataFrame({"term": pd.Series(list(counts), dtype=object), "n": pd.Series([c.tolist() for c in counts.values()], dtype=object)})
             counts.clear()
             return out
 
