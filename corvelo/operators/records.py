@@ -145,3 +145,46 @@ def url_first(rows: DataFrame, url: str, rank: str, order: str) -> DataFrame:
 def running(frame: DataFrame, keys: list[str], order: str, value: str, into: str) -> DataFrame:
     """A running sum within keys."""
     return frame.withColumn(into, F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def zipped(frame: DataFrame, keys: list[str], left: str, right: str, separator: str = ",") -> DataFrame:
+    """Two delimited lists of equal order as rows (keys, left, right); a missing right entry is empty."""
+    cut = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda x: F.trim(x))
+    pairs = F.arrays_zip(cut(left).alias("l"), cut(right).alias("r"))
+    return frame.select(*keys, F.explode(pairs).alias("z")).select(*keys, F.col("z.l").alias(left), F.coalesce("z.r", F.lit("")).alias(right)).where(F.col(left) != "")
+
+
+def merge_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join that raises where a key repeats on either side."""
+    from corvelo.operators.checks import require_unique
+
+    return require_unique(left, keys).join(require_unique(right, keys), keys)
+
+
+def remap(frame: DataFrame, column: str, names: dict[str, str], dropped: list[str] = []) -> DataFrame:  # noqa: B006
+    """Categories renamed by a small table, some left out; others stay."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<string,string>")
+    return frame.where(~F.col(column).isin(dropped) if dropped else F.lit(True)).withColumn(column, F.coalesce(F.element_at(table, F.col(column)), F.col(column)))
+
+
+def labelled_union(frames: dict[str, tuple[DataFrame, dict[str, str]]], columns: list[str]) -> DataFrame:
+    """Union of sources with their columns renamed (source column by target), tagged with `source_set`."""
+    whole = None
+    for name, (frame, renamed) in frames.items():
+        part = frame.select(*(F.col(renamed.get(c, c)).alias(c) if renamed.get(c, c) in frame.columns else F.lit(None).cast("string").alias(c) for c in columns)).withColumn("source_set", F.lit(name))
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+def fetch_route(venue: Column, doi: Column, url: Column, routes: dict[str, str]) -> Column:
+    """How a context is to be fetched: the venue's own route, else by DOI, else by page, else none."""
+    own = F.lit(None).cast("string")
+    for key, route in routes.items():
+        own = F.when(venue == key, route).otherwise(own)
+    return F.coalesce(own, F.when(F.length(doi) > 0, "doi").when(F.length(url) > 0, "page"), F.lit("none"))
+
+
+def training_hash(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: a hash of training rows that does not depend on their order."""
+    line = F.conv(F.substring(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    return frame.agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(line), F.lit(0)).cast("string")), 256).alias("training_hash"))

@@ -150,3 +150,12 @@ def read_pdf_text(spark: SparkSession, glob: str, pages: int = 2) -> DataFrame:
         return contents.map(lambda c: "\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(c)).pages[:pages]))
 
     return spark.read.format("binaryFile").load(glob).select("path", extract("content").alias("text"))
+
+
+def read_conference_csv(spark: SparkSession, path: str, venue: str, year: int) -> DataFrame:
+    """Papers of an exported list (DOI, Title, Authors): resolver prefixes dropped, `and` between names."""
+    from corvelo.functions.text import split_authors
+
+    rows = read_csv(spark, path, "DOI", "Title", "Authors")
+    doi = F.lower(F.regexp_replace("DOI", r"^https?://(?:dx\.)?doi\.org/", ""))
+    return rows.select(doi.alias("paper_id"), F.lit(venue).alias("venue_key"), F.lit(year).alias("year"), F.trim("Title").alias("title"), split_authors(F.col("Authors")).alias("authors"), doi.alias("doi"))

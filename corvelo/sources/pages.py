@@ -185,3 +185,15 @@ def zip_chart(lines: list[str], axis: str) -> list[tuple[str, float]]:
     if len(labels) != len(values):
         raise ValueError("labels and values differ in number")
     return list(zip(labels, values))
+
+
+def issue_articles(page: str, doi_prefix: str) -> list[dict]:
+    """Articles of a journal issue: entries of class obj_article_summary in the main section, with title,
+    authors, and a DOI made of a prefix and the article's number."""
+    found = []
+    for block in (n for n in walk(tree(page)) if has_class(n, "obj_article_summary")):
+        link = next((n for k in walk(block) if has_class(k, "title") for n in [*walk(k), k] if n[0] == "a" and n[1].get("href")), None)
+        if link and (m := re.search(r"/view/(\d+)", link[1]["href"])):
+            people = next((text(n) for n in walk(block) if has_class(n, "authors")), "")
+            found.append({"paper_id": m[1], "title": text(link), "authors": names(people), "track": "main", "doi": f"{doi_prefix}.{m[1]}", "official_url": link[1]["href"], "pdf_url": None})
+    return found
