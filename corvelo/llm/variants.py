@@ -81,6 +81,12 @@ def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @pandas_udf(ArrayType(StringType()))
 def neighbourhood(words: pd.Series) -> pd.Series:
+    """A word and its forms with a letter deleted."""
+    return words.map(lambda w: sorted({w, *(w[:i] + w[i + 1 :] for i in range(len(w)) if len(w) > 3)}))
+
+
+@pandas_udf(ArrayType(StringType()))
+def wide_neighbourhood(words: pd.Series) -> pd.Series:
     """A word and its forms with a letter deleted, with two deleted from eight letters on."""
 
     def forms(w: str) -> list[str]:
@@ -93,11 +99,14 @@ def neighbourhood(words: pd.Series) -> pd.Series:
 
 def close_words(left: DataFrame, right: DataFrame, most: int = 2) -> DataFrame:
     """Pairs (a, b, d) of words of `left` (a) and `right` (b) at most `most` edits apart. Finds all pairs
-    one edit apart, and two apart from eight letters on."""
-    a = left.select("a").distinct().select("a", F.explode(neighbourhood("a")).alias("form"))
-    b = right.select("b").distinct().select("b", F.explode(neighbourhood("b")).alias("form"))
-    near = a.join(b, "form").select("a", "b").distinct().where(F.abs(F.length("a") - F.length("b")) <= most)
-    return near.withColumn("d", edit_distance("a", "b")).where(F.col("d") <= most)
+    one edit apart, and for `most` of 2 those two apart from eight letters on."""
+    near = wide_neighbourhood if most > 1 else neighbourhood
+    a = left.select("a").distinct().select("a", F.explode(near("a")).alias("form"))
+    b = right.select("b").distinct().select("b", F.explode(near("b")).alias("form"))
+    # a swap counts as two for the built-in distance, which discards most pairs before Python sees them
+    # forms are many more than the words whose size Spark knows, so neither side is left to be broadcast
+    pairs = a.hint("merge").join(b, "form").where((F.abs(F.length("a") - F.length("b")) <= most) & (F.levenshtein("a", "b", 2 * most) >= 0)).select("a", "b").distinct()
+    return pairs.withColumn("d", edit_distance("a", "b")).where(F.col("d") <= most)
 
 
 def attribute_organisations(mentions: DataFrame, spread: int = 6, settled: int = 5, typo: float = 3.0, foreign: float = 4.0, unknown: float = -3.0) -> DataFrame:
@@ -122,7 +131,10 @@ def attribute_organisations(mentions: DataFrame, spread: int = 6, settled: int =
     common = cut_lineage(seen.groupBy("w").agg(F.count(F.lit(1)).alias("ids")).where(F.col("ids") >= spread).select("w"))
     size = resolved.groupBy("entity_id").agg(F.sum("n").alias("size"))
     proper = seen.join(common, "w", "left_anti")
-    place = proper.groupBy("entity_id").agg(F.max_by("w", F.struct("n", F.length("w"), "w")).alias("place"))
+    # an organisation's proper name: of its frequent words that with the fewest other identifiers
+    spreads = seen.groupBy("w").agg(F.count(F.lit(1)).alias("ids"))
+    frequent = proper.join(proper.groupBy("entity_id").agg(F.max("n").alias("most")), "entity_id").where("n >= 0.5 * most").join(spreads, "w")
+    place = frequent.groupBy("entity_id").agg(F.max_by("w", F.struct(-F.col("ids"), F.col("n"), F.length("w"), F.col("w"))).alias("place"))
     country = resolved.where("country IS NOT NULL").groupBy("entity_id", "country").agg(F.sum("n").alias("n")).groupBy("entity_id").agg(F.max_by("country", F.struct("n", "country")).alias("home"))
     # kinds: the common words that most rows of a settled organisation share, where another shares them
     kinds = seen.join(common, "w").join(size, "entity_id").where((F.col("size") >= settled) & (F.col("n") >= 0.4 * F.col("size"))).groupBy("entity_id").agg(F.array_sort(F.collect_set("w")).alias("parts"))
@@ -140,21 +152,28 @@ def attribute_organisations(mentions: DataFrame, spread: int = 6, settled: int =
     scored = of_kind.join(likely, "w").join(rest, "kind").groupBy("name", "kind").agg(F.sum(F.col("lp") - F.col("lp0") - F.col("without")).alias("over"))
     held = of_kind.groupBy("name").agg(F.count(F.lit(1)).alias("held"))
     kind_scores = held.join(F.broadcast(rest)).join(scored, ["name", "kind"], "left").select("name", "kind", (F.coalesce("over", F.lit(0.0)) + F.col("held") * F.col("lp0") + F.col("bare")).alias("kind_score"))
-    kind_scores = cut_lineage(kind_scores)
+    # the whole set of telling words as seen with a kind, where that says more than the words one by one
+    telling = likely.where(F.col("lp") >= F.log(F.lit(0.05))).select("w").distinct()
+    patterns = of_kind.join(telling, "w").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("w")), " ").alias("pattern"))
+    with_pattern = resolved.join(kinds.select("entity_id", "kind"), "entity_id").join(patterns, "name").groupBy("kind", "pattern").agg(F.sum("n").alias("n")).join(by_kind.select("kind", "total"), "kind")
+    with_pattern = with_pattern.select("kind", "pattern", F.log(F.col("n") / (F.col("total") + 1)).alias("as_seen"))
+    kind_scores = kind_scores.join(patterns, "name", "left").join(with_pattern, ["kind", "pattern"], "left").select("name", "kind", F.greatest("kind_score", "as_seen").alias("kind_score"))
+    bare = spelled.select("name").join(of_kind.select("name").distinct(), "name", "left_anti").select("name", F.lit("").alias("kind"), F.lit(0.0).alias("kind_score"))
+    kind_scores = cut_lineage(kind_scores.unionByName(bare))
     own_kind = kind_scores.groupBy("name").agg(F.max_by("kind", F.struct("kind_score", "kind")).alias("kind"))
     summed = resolved.join(kind_scores, "name").groupBy("entity_id", "kind").agg(F.sum(F.col("n") * F.col("kind_score")).alias("fit"))
     kinds = cut_lineage(summed.groupBy("entity_id").agg(F.max_by("kind", F.struct("fit", "kind")).alias("kind")))
     # entities: those with an identifier, and frequent names of none
     known = cut_lineage(size.join(place, "entity_id").join(kinds, "entity_id").join(country, "entity_id", "left").select("entity_id", "place", "kind", "home", "size"))
     proper_words = cut_lineage(words.join(common, "w", "left_anti").join(open_.select("name").distinct(), "name"))
-    counted = open_.groupBy("name").agg(F.sum("n").alias("n"), F.max_by("country", F.struct("n", "country")).alias("home"))
-    nameless = proper_words.join(counted, "name").join(own_kind, "name").groupBy(F.col("w").alias("place"), "kind").agg(F.sum("n").alias("size"), F.max_by("home", "n").alias("home")).where("size > 1")
+    sources = mentions.where((F.length("name") > 0) & (F.coalesce("entity_id", F.lit("")) == "")).select("name", "source", F.nullif("country", F.lit("")).alias("home")).distinct()
+    nameless = proper_words.join(sources, "name").join(own_kind, "name").groupBy(F.col("w").alias("place"), "kind").agg(F.count_distinct("source").alias("size"), F.max("home").alias("home")).where("size > 1")
     nameless = nameless.join(known.select("place", "kind"), ["place", "kind"], "left_anti").join(proper.join(kinds, "entity_id").select(F.col("w").alias("place"), "kind").distinct(), ["place", "kind"], "left_anti")
     entities = cut_lineage(known.unionByName(nameless.withColumn("entity_id", F.lit(None).cast("string"))))
     # the channel
     near = close_words(proper_words.select(F.col("w").alias("a")), entities.select(F.col("place").alias("b")))
     typed = proper_words.join(near.select(F.col("a").alias("w"), F.col("b").alias("place"), (-typo * F.col("d")).alias("typed")), "w").join(entities, "place")
-    observed = proper.join(size, "entity_id").select("entity_id", "w", F.log(F.col("n") / F.col("size")).alias("observed"))
+    observed = proper.join(size, "entity_id").join(known.select("entity_id", "place"), "entity_id").where(F.levenshtein("w", "place", 3) >= 0).select("entity_id", "w", F.log(F.col("n") / F.col("size")).alias("observed"))
     seen_so = proper_words.join(observed, "w").join(known, "entity_id").select("name", "place", "kind", "home", "size", "entity_id", F.col("observed").alias("typed"))
     pairs = typed.select("name", "place", "kind", "home", "size", "entity_id", "typed").unionByName(seen_so)
     pairs = pairs.groupBy("name", "place", "kind", "entity_id").agg(F.max("typed").alias("typed"), F.first("home", True).alias("home"), F.max("size").alias("size")).join(kind_scores, ["name", "kind"])
