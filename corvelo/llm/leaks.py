@@ -159,12 +159,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: float = 0.48, perm
     """Pairs (doc_id, item_id, coverage): documents (doc_id, text) holding at least the share `least` of an
     item's (item_id, text) words in running order.
 
-    Null and empty texts and items under three words match nothing; repeated documents and items give one
+    Null and empty texts, null ids and items under three words match nothing; repeated documents and items give one
     row a pair of ids; very long texts are searched whole. Blocks of `block` items are searched one after
     the other, each against all documents. Empty tables give an empty result.
     """
     spark, schema = documents.sparkSession, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, coverage double"
-    wanted = items.where(F.length("text") > 0).select("item_id", "text")
+    wanted = items.where((F.length("text") > 0) & F.col("item_id").isNotNull()).select("item_id", "text")
     blocks = max(1, -(-wanted.count() // block))
     found = None
     for k in range(blocks):
@@ -174,6 +174,6 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: float = 0.48, perm
         def search(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             yield from Searcher(sent.value, least, permutations, growth).search(frames)
 
-        pairs = documents.select("doc_id", "text").mapInPandas(search, schema)
+        pairs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(search, schema)
         found = pairs if found is None else found.unionByName(pairs)
     return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))

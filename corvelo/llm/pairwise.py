@@ -19,13 +19,13 @@ from corvelo.session import cut_lineage, drop_cut
 def spring_strengths(comparisons: DataFrame, group: str = "group", pull: float = 0.01, tolerance: float = 1e-9, most_iterations: int = 200) -> DataFrame:
     """Strengths (`group`, item, strength, compared) from rows (`group`, winner, loser, weight, tied).
 
-    All groups are solved at once as one block-diagonal system. Rows with a null or an item compared with
-    itself are left out; repeated rows count each. Ends when the residual fell below `tolerance` of its
+    All groups are solved at once as one block-diagonal system. Rows with a null item or group or an item
+    compared with itself are left out; repeated rows count each. Ends when the residual fell below `tolerance` of its
     start; raises if `most_iterations` do not suffice. Items of one group that no chain of comparisons
     connects have strengths relative to their own part only. Hot pairs are summed before any shuffle of
     rows. An empty input gives an empty result.
     """
-    rows = comparisons.where(F.col("winner") != F.col("loser")).select(group, "winner", "loser", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("tied", F.lit(False)).alias("tied"))
+    rows = comparisons.where((F.col("winner") != F.col("loser")) & F.col(group).isNotNull()).select(group, "winner", "loser", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("tied", F.lit(False)).alias("tied"))
     directed = rows.groupBy(group, "winner", "loser").agg(F.sum("weight").alias("n"), F.sum(F.when(F.col("tied"), 0.0).otherwise(F.col("weight"))).alias("net"))
     both = directed.select(group, F.col("winner").alias("item"), F.col("loser").alias("other"), "n", "net").unionByName(
         directed.select(group, F.col("loser").alias("item"), F.col("winner").alias("other"), "n", (-F.col("net")).alias("net"))

@@ -55,7 +55,7 @@ def _read(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"].astype(object), "title": pd.Series([" ".join(plain_words(t)) for t in frame["title"]], dtype=object, index=frame.index), "sentences": pd.Series([[{"paragraph": k, "words": w} for k, w in sentences(t)] for t in frame["text"]], dtype=object, index=frame.index)})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "source", "title", "text").mapInPandas(read, f"doc_id {kind}, source string, title string, sentences array<struct<paragraph:int,words:string>>")
+    return documents.where("doc_id IS NOT NULL").select("doc_id", "source", "title", "text").mapInPandas(read, f"doc_id {kind}, source string, title string, sentences array<struct<paragraph:int,words:string>>")
 
 
 def seed_terms(subjects: DataFrame) -> dict[str, str]:
@@ -181,7 +181,7 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
     """Subjects of documents (doc_id, subject, posterior), all of posterior one half or more, for every
     document (doc_id, text, title, source), given hand labels (doc_id, subject).
 
-    Texts without sentences (null, empty, navigation only) get none, and no document gets a subject that
+    Texts without sentences (null, empty, navigation only) and rows without id get none, and no document gets a subject that
     no sentence of it shows. Repeated rows of a document count once. Any number of subjects may be given
     to one document. Empty tables give an empty result.
     """
