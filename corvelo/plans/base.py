@@ -20,13 +20,14 @@ PANEL_SQL = "panel AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in PANEL) + "
 
 
 def blank(name: str):
-    return F.nullif(F.trim(F.col(name)), F.lit(""))
+    """The trimmed text, null where blank. (Spelled out, as `nullif` keeps whole structs from being pruned.)"""
+    return F.when(F.trim(F.col(name)) != "", F.trim(F.col(name)))
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """The last reconciled record of each paper (venue, paper_key, countries), papers without id by title."""
     rows = table(spark, folder, "reconciled").select(
-        F.coalesce(blank("paper.venue_key"), F.lit("none")).alias("venue"), F.coalesce(blank("paper.paper_id"), F.col("paper.title"), F.lit("")).alias("paper_key"), "seq", distinct_codes(F.transform("affiliations", lambda a: a["country_code"])).alias("countries")
+        F.coalesce(blank("paper.venue_key"), F.lit("none")).alias("venue"), F.coalesce(blank("paper.paper_id"), F.col("paper.title"), F.lit("")).alias("paper_key"), "seq", distinct_codes(F.col("affiliations.country_code")).alias("countries")
     )
     return rows.groupBy("venue", "paper_key").agg(F.max_by("countries", "seq").alias("countries"))
 

@@ -80,7 +80,7 @@ def coverage_gate(spark: SparkSession, folder: str) -> DataFrame:
     AND count(*) FILTER (len(list_filter(affiliations, lambda a: a.country_code <> '')) > 0) / count(*) >= 0.85 AS passes FROM reconciled""")
 def quality_report(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "reconciled")
-    return I.quality_report(r.select(F.lit(True).alias("enumerated"), F.coalesce(F.length("openalex_id") > 0, F.lit(False)).alias("matched"), F.coalesce(F.size("affiliations") > 0, F.lit(False)).alias("with_affiliation"), (F.size(I.distinct_codes(F.transform("affiliations", lambda a: a["country_code"]))) > 0).alias("with_country")))
+    return I.quality_report(r.select(F.lit(True).alias("enumerated"), F.coalesce(F.length("openalex_id") > 0, F.lit(False)).alias("matched"), F.coalesce(F.size("affiliations") > 0, F.lit(False)).alias("with_affiliation"), (F.size(I.distinct_codes(F.col("affiliations.country_code"))) > 0).alias("with_country")))
 
 
 @query("""SELECT n_nationkey, count(s_suppkey) AS n, round(coalesce(sum(s_acctbal), 0), 6) AS rmax FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
@@ -125,7 +125,8 @@ d AS (SELECT p.country_code, x.sector, coalesce(n, 0) AS n FROM panel p CROSS JO
 SELECT country_code, sector, n AS model_count, CAST(sum(n) OVER w AS BIGINT) AS country_total, CASE WHEN sum(n) OVER w > 0 THEN round(n / sum(n) OVER w, 10) END AS sector_share FROM d WINDOW w AS (PARTITION BY country_code)""")
 def sector_mix(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "reconciled").where((F.col("reconciled_at") >= F.lit("2025-01-01").cast("timestamp_ntz")) & (F.col("reconciled_at") < F.lit("2026-01-01").cast("timestamp_ntz")))
-    e = r.select("seq", F.explode("affiliations").alias("a")).select("seq", F.col("a.country_code").alias("country_code"), F.when(F.col("a.institution_type") == "company", "industry").when(F.col("a.institution_type") == "education", "academia").otherwise("other").alias("sector"))
+    # two fields by name: of an exploded struct the scan would read all
+    e = r.select("seq", F.explode(F.arrays_zip("affiliations.country_code", "affiliations.institution_type")).alias("a")).select("seq", F.col("a.country_code").alias("country_code"), F.when(F.col("a.institution_type") == "company", "industry").when(F.col("a.institution_type") == "education", "academia").otherwise("other").alias("sector"))
     return I.sector_mix(I.collapsed_sectors(e.where(F.col("country_code") != ""), ["seq", "country_code"], "sector"), panel(spark))
 
 

@@ -41,7 +41,7 @@ m AS (SELECT *, list_filter(string_split(coalesce(match_method, ''), '+') || str
 SELECT venue_key, paper_key, coalesce(nullif(uo, ''), openalex_id) AS openalex_id,
   CASE WHEN has THEN nullif(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '+'), '') ELSE match_method END AS match_method FROM m""")
 def merge_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    r = table(spark, folder, "reconciled").select(F.coalesce("paper.venue_key", F.lit("")).alias("venue_key"), F.coalesce(F.nullif(F.trim("paper.paper_id"), F.lit("")), "paper.title", F.lit("")).alias("paper_key"), "openalex_id", "match_method", "affiliations", "diagnostics", "seq")
+    r = table(spark, folder, "reconciled").select(F.coalesce("paper.venue_key", F.lit("")).alias("venue_key"), F.coalesce(blank("paper.paper_id"), "paper.title", F.lit("")).alias("paper_key"), "openalex_id", "match_method", "affiliations", "diagnostics", "seq")
     keys = ["venue_key", "paper_key"]
     first, last = R.first_per_key(r, keys, [F.col("seq")]), R.last_per_key(r, keys, "seq")
     updates = last.join(first.select(*keys, F.col("seq").alias("_s")), keys).where("seq <> _s").drop("_s")
@@ -182,5 +182,5 @@ def set_recall(spark: SparkSession, folder: str) -> DataFrame:
     from corvelo.operators.evaluate import set_agreement
     from corvelo.operators.indicators import distinct_codes
 
-    r = table(spark, folder, "reconciled").select(F.coalesce("paper.venue_key", F.lit("")).alias("v"), F.coalesce(F.nullif(F.trim("paper.paper_id"), F.lit("")), "paper.title", F.lit("")).alias("k"), "seq", distinct_codes(F.transform("affiliations", lambda a: a["country_code"])).alias("c"))
+    r = table(spark, folder, "reconciled").select(F.coalesce("paper.venue_key", F.lit("")).alias("v"), F.coalesce(blank("paper.paper_id"), "paper.title", F.lit("")).alias("k"), "seq", distinct_codes(F.col("affiliations.country_code")).alias("c"))
     return set_agreement(r.groupBy("v", "k").agg(F.min_by("c", "seq").alias("expected"), F.max_by("c", "seq").alias("found")), "expected", "found")
