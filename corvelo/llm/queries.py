@@ -39,7 +39,7 @@ def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     from corvelo.llm.variants import attribute_organisations, attribute_people
 
-    source = lambda p: F.concat_ws("|", f"{p}venue_key", F.coalesce(F.nullif(f"{p}paper_id", F.lit("")), F.col(f"{p}title")))
+    source = lambda p: F.concat_ws("|", f"{p}venue_key", F.coalesce(F.when(F.col(f"{p}paper_id") != "", F.col(f"{p}paper_id")), F.col(f"{p}title")))
     held = table(spark, folder, "reconciled").select("seq", source("paper.").alias("source"), F.posexplode("affiliations").alias("pos", "a"))
     held = held.select("seq", "source", "pos", F.col("a.institution_name").alias("name"), F.nullif("a.country_code", F.lit("")).alias("country"), F.nullif("a.institution_id", F.lit("")).alias("entity_id"))
     found = cut_lineage(attribute_organisations(held)).select("name", F.col("country").alias("home"), F.col("entity_id").alias("found"))
@@ -62,7 +62,7 @@ def _links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Confidences of all pairs of papers and works, and the papers that hold a link already."""
     from corvelo.llm.linkage import link_papers
 
-    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    blank = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
     fields = [F.struct(blank("venue_key").alias("venue_key"), blank("paper_id").alias("paper_id")).alias("paper_key"), F.col("title"), F.col("authors").alias("names"), "doi", "year", F.col("venue_key").alias("venue")]
     keyed = (blank("venue_key").isNotNull()) & (blank("paper_id").isNotNull())
     papers = table(spark, folder, "paper").where(keyed).select(*fields)
