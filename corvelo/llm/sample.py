@@ -29,22 +29,41 @@ def halving_rates(first: float = 0.2, every: int = 12) -> Callable[[Column], Col
     return lambda epoch: F.lit(first) / F.pow(F.lit(2.0), F.floor(F.coalesce(epoch, F.lit(0)) / every))
 
 
-def extend_ledger(records: DataFrame, ledger: DataFrame | None, rate: Callable[[Column], Column], seed: str = "sample", key: str = "key", epoch: str = "epoch", order: str = "seq") -> DataFrame:
-    """The ledger (key, first_epoch, rate, draw, chosen) after `records` arrived.
+def new_lines(records: DataFrame, ledger: DataFrame | None, rate: Callable[[Column], Column], seed: str = "sample", key: str = "key", epoch: str = "epoch", order: str = "seq") -> DataFrame:
+    """The lines (key, first_epoch, rate, draw, chosen) that `records` add to a ledger.
 
     A key's epoch is that of its first row by `order`, the order of arrival, so neither later repeats
-    nor rows that arrive late with an older epoch change it. Keys in `ledger` keep their lines as they
-    are. Null keys are left out; a null epoch counts as 0. Repeats of a key are combined before the
-    shuffle, so one key may hold any share of the rows. Clashing column names in `records` do no harm.
+    nor rows that arrive late with an older epoch change it. An epoch that the ledger holds keeps its
+    frozen rate; `rate` gives that of a new one. Null keys are left out; a null epoch counts as 0. Repeats
+    of a key are combined before the shuffle, so one key may hold any share of the rows. Other columns of
+    `records`, whatever their names, do no harm.
     """
     first = records.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min_by(F.coalesce(F.col(epoch), F.lit(0)), F.col(order)).alias("first_epoch"))
+    wanted = rate(F.col("first_epoch"))
     if ledger is not None:
-        first = first.join(ledger.select("key"), "key", "left_anti")
-    drawn = first.select("key", "first_epoch", rate(F.col("first_epoch")).alias("rate"), counter_draw(F.col("key"), seed).alias("draw"))
-    drawn = drawn.withColumn("chosen", F.col("draw") < F.col("rate"))
+        frozen = ledger.groupBy("first_epoch").agg(F.min("rate").alias("frozen"))
+        first = first.join(ledger.select("key"), "key", "left_anti").join(frozen, "first_epoch", "left")
+        wanted = F.coalesce("frozen", wanted)
+    drawn = first.select("key", "first_epoch", wanted.alias("rate"), counter_draw(F.col("key"), seed).alias("draw"))
+    return drawn.withColumn("chosen", F.col("draw") < F.col("rate"))
+
+
+def extend_ledger(records: DataFrame, ledger: DataFrame | None, rate: Callable[[Column], Column], seed: str = "sample", key: str = "key", epoch: str = "epoch", order: str = "seq") -> DataFrame:
+    """The ledger after `records` arrived: its lines as they are and those of `new_lines`."""
+    drawn = new_lines(records, ledger, rate, seed, key, epoch, order)
     return drawn if ledger is None else ledger.select(drawn.columns).unionByName(drawn)
 
 
+def update_ledger(records: DataFrame, path: str, rate: Callable[[Column], Column], seed: str = "sample", key: str = "key", epoch: str = "epoch", order: str = "seq") -> DataFrame:
+    """Appends the lines of new keys to the ledger kept at `path` and returns the whole. A second run over the
+    same records adds nothing."""
+    spark = records.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+    new_lines(records, held, rate, seed, key, epoch, order).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def paper_key() -> Column:
     """A paper's identity: venue and id, or, where the id is blank, the title. Null where both are blank."""
     blank = lambda name: F.nullif(F.trim(F.col(name)), F.lit(""))

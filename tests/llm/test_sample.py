@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from corvelo.llm.sample import counter_draw, extend_ledger, halving_rates, paper_key
+from corvelo.llm.sample import counter_draw, extend_ledger, halving_rates, paper_key, update_ledger
 
 
 def records(spark, rows):
@@ -34,3 +34,15 @@ def test_keys_and_edges(spark):
     line = extend_ledger(odd, None, halving_rates()).collect()
     assert len(line) == 1 and line[0].first_epoch == 0
     assert extend_ledger(records(spark, []), None, halving_rates()).count() == 0
+
+
+def test_kept_ledger(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    old = records(spark, [(f"k{k}", k % 3, k, "") for k in range(60)])
+    one = {r.key: tuple(r) for r in update_ledger(old, path, halving_rates(0.5)).collect()}
+    more = old.unionByName(records(spark, [(f"n{k}", k % 5, 100 + k, "") for k in range(50)]))
+    two = {r.key: tuple(r) for r in update_ledger(more, path, lambda e: F.lit(0.01)).collect()}
+    assert all(two[k] == one[k] for k in one) and len(two) == 110
+    assert {r[2] for k, r in two.items() if k[0] == "n" and r[1] < 3} == {0.5}  # frozen
+    assert {r[2] for k, r in two.items() if r[1] >= 3} == {0.01}
+    assert update_ledger(more, path, halving_rates()).count() == 110
