@@ -201,6 +201,10 @@ def learn_nicknames(exact: DataFrame) -> DataFrame:
     return pairs.join(uses, "used").where((F.col("n") >= 3) & (F.col("n") >= 0.5 * F.col("all"))).select("used", "given", F.lit(True).alias("nick"))
 
 
+#: Log likelihood of a given name that is no form of a person's.
+UNLIKELY = -12.0
+
+
 @pandas_udf(DoubleType())
 def given_likelihood(used: pd.Series, given: pd.Series, middles: pd.Series, middle: pd.Series, nick: pd.Series) -> pd.Series:
     """Log likelihood of the written given names (first one, other words) for a person's."""
@@ -212,13 +216,13 @@ def given_likelihood(used: pd.Series, given: pd.Series, middles: pd.Series, midd
         if u == g:
             first = 0.0
         elif len(u) == 1:
-            first = -1.2 if g.startswith(u) else -12.0
+            first = -1.2 if g.startswith(u) else UNLIKELY
         elif n or len(u) >= 2 and g.startswith(u) or len(u) >= 3 and g.endswith(u):
             first = -2.5
         elif min(len(u), len(g)) >= 3 and (d := edits(u, g)) <= (1 if len(g) < 8 else 2):
             first = -3.0 * d
         else:
-            first = -12.0
+            first = UNLIKELY
         if others and m:
             second = 0.0 if any(o[0] == m[0] for o in others) else -7.0
         elif others:
@@ -264,7 +268,9 @@ def attribute_people(mentions: DataFrame, profiles: DataFrame, typo: float = 3.0
     found = parts.join(near, "w").select("name", "d", "surname", rest.alias("rest"), F.when(F.length(F.get(rest, F.lit(0))) > 1, F.get(rest, F.lit(0))).otherwise(long_first).alias("used"))
     found = cut_lineage(found.withColumn("middles", F.expr("filter(rest, (x, i) -> i <> array_position(rest, used) - 1)")).drop("rest"))
     exact = found.where((F.col("d") == 0) & (F.length("used") > 1)).select("used", "surname").distinct().join(people.select("given", "surname").distinct(), "surname")
-    exact = exact.where(F.substring("used", 1, 3) != F.substring("given", 1, 3)).where(F.levenshtein("used", "given") > 1)
+    # only forms that the likelihood does not accept by themselves need learning
+    alone = given_likelihood("used", "given", F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(False))
+    exact = cut_lineage(exact.where(~F.col("given").startswith(F.col("used"))).where(alone <= UNLIKELY))
     nicknames = cut_lineage(learn_nicknames(exact))
     pairs = found.join(persons, "surname").join(nicknames, ["used", "given"], "left")
     pairs = pairs.withColumn("score", F.log(F.col("size").cast("double")) - typo * F.col("d") + given_likelihood("used", "given", "middles", "middle", F.coalesce("nick", F.lit(False))))

@@ -40,5 +40,13 @@ def test_people(spark):
     assert attribute_people(spark.createDataFrame([], "name string, source string"), profiles).count() == 0
 
 
+def test_short_forms_with_the_first_letters_are_learnt(spark):
+    people = [("Serginho", "Sergio", s) for s in ("Bordolvim", "Lenfengra", "Mirkarvim")] + [("Dora", "Dorothea", s) for s in ("Tasdolgra", "Pisenskarn", "Tonkortimwen")]
+    profiles = spark.createDataFrame([(f"~{s}", f"{given} {s}") for _, given, s in people], "entity_id string, preferred string")
+    names = [f"{short} {s}" for short, _, s in people] + ["Serzinhu Bordolvim"]  # seen under one surname only
+    got = {r.name: r.entity_id for r in attribute_people(spark.createDataFrame([(n, str(k)) for k, n in enumerate(names)], "name string, source string"), profiles).collect()}
+    assert got == {f"{short} {s}": f"~{s}" for short, _, s in people}
+
+
 def test_query(spark, folder):
     assert Q.p2_found(spark, folder).columns == ["field", "seq", "pos", "entity_id"]
