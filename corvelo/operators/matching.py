@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from corvelo.session import cut_lineage, drop_cut
+
 
 @pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -18,38 +21,90 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=len(y or "") >= 200).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def fuzzy_best(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: str, blocks: list[Column], least: float) -> DataFrame:
-    """For each left row the right row of the most similar key among those that share one of the blocking
-    expressions on `key`, if `least` is reached (left_id, right_id, similarity). Ties go to the lower id."""
+def blocked_pairs(left: DataFrame, right: DataFrame, key: str, blocks: list[Column], least: float) -> DataFrame:
+    """Pairs of keys (_l, _r, similarity) that share one of the blocking expressions on `key` and reach `least`."""
 
-    def blocked(rows: DataFrame, id_: str, into: str) -> DataFrame:
-        keyed = rows.select(F.col(id_), F.col(key).alias(into), F.explode(F.array_distinct(F.array(*blocks))).alias("_block"))
+    def blocked(rows: DataFrame, into: str) -> DataFrame:
+        keyed = rows.select(F.col(key).alias(into), F.explode(F.array_distinct(F.array(*blocks))).alias("_block"))
         return keyed.where(F.col("_block").isNotNull() & (F.col("_block") != ""))
 
-    pairs = blocked(left, left_id, "_l").join(blocked(right, right_id, "_r"), "_block").drop("_block").distinct()
+    pairs = blocked(left, "_l").join(blocked(right, "_r"), "_block").drop("_block").distinct()
     pairs = pairs.where(F.least(F.length("_l"), F.length("_r")) * 2 / (F.length("_l") + F.length("_r")) >= least)  # no ratio can be higher
-    scored = pairs.withColumn("similarity", matching_ratio("_l", "_r")).where(F.col("similarity") >= least)
-    return scored.groupBy(left_id).agg(F.max_by(F.struct(F.col(right_id), F.col("similarity")), F.struct(F.col("similarity"), -F.xxhash64(F.col(right_id).cast("string")))).alias("b")).select(left_id, "b.*")
-
-
-def exact_then_fuzzy(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: str, blocks: list[Column], least: float = 0.92, aliases: DataFrame | None = None) -> DataFrame:
+    return pairs.withColumn("similarity", matching_ratio("_l", "_r")).where(F.col("similarity") >= least)
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, key: str, least: float, size: int = 500) -> DataFrame:
+    """All pairs of keys (_l, _r, similarity) that reach `least`.
+
+    Matching blocks are a common subsequence, so at most `1 - least` of the letters of both keys are to be
+    deleted or inserted. That bounds the lengths, the difference of the letters' counts and the edit
+    distance; only these bounds are used before the ratio, so no pair is lost. Keys are compared in packs
+    of one length with `size` keys at most on average.
+    """
+    slack = f"{1 - least + 1e-9!r}D"
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * left.sparkSession.sparkContext.defaultParallelism)
+
+    def packs(rows: DataFrame, n: str, into: str) -> DataFrame:
+        keys = rows.where(F.length(key) > 0).select(F.col(key).alias("k")).distinct().withColumn(n, F.length("k"))
+        parts = keys.groupBy(n).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+        return keys.join(parts, n).groupBy(n, F.pmod(F.xxhash64("k"), F.col("parts")).alias("part")).agg(F.collect_list("k").alias(into)).drop("part")
+
+    l, r = packs(left, "_n", "_ls"), packs(right, "_m", "_rs")
+    # |n - m| <= slack * (n + m), as a join on the length
+    reach = F.sequence(F.ceil(F.expr(f"_n * (1 - {slack}) / (1 + {slack})")), F.floor(F.expr(f"_n * (1 + {slack}) / (1 - {slack})")))
+    l = l.withColumn("_m", F.explode(reach.cast("array<int>")))
+    packed = l.repartition(tasks, "_m").join(r.repartition(tasks, "_m"), "_m").select("_ls", "_rs")
+
+    def near(frames):
+        def counts(keys) -> np.ndarray:
+            found = np.zeros((64, len(keys)), dtype="int16")
+            for k, text in enumerate(keys):
+                for c in text:
+                    found[ord(c) % 64, k] += 1
+            return found
+
+        for frame in frames:
+            for ls, rs in zip(frame["_ls"], frame["_rs"]):
+                a, b = counts(ls), counts(rs)
+                apart = np.zeros((len(ls), len(rs)), dtype="int16")
+                for c in range(64):
+                    if a[c].any() or b[c].any():
+                        apart += np.abs(a[c][:, None] - b[c][None, :])
+                x, y = np.nonzero(apart <= (1 - least) * (len(ls[0]) + len(rs[0])) + 1e-6)
+                yield pd.DataFrame({"_l": [ls[i] for i in x], "_r": [rs[j] for j in y]}, dtype="object")
+
+    pairs = packed.mapInPandas(near, "_l string, _r string").where(F.expr(f"levenshtein(_l, _r, CAST(FLOOR({slack} * (length(_l) + length(_r))) AS INT)) >= 0"))
+    return pairs.withColumn("similarity", matching_ratio("_l", "_r")).where(F.col("similarity") >= least)
+
+
+def best_first(pairs: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Of pairs (left_id, right_id, similarity) the highest similarity first, no row used twice; ties go to
+    the lower ids. Pairs that are each other's best are taken in rounds until none is left."""
+    rest, taken = cut_lineage(pairs), None
+    first = F.min(F.struct((-F.col("similarity")).alias("_o"), left_id, right_id)).alias("b")
+    while not rest.isEmpty():
+        of_left, of_right = (rest.groupBy(F.col(i).alias("_i")).agg(first).select(f"b.{left_id}", f"b.{right_id}") for i in (left_id, right_id))
+        now = cut_lineage(rest.join(of_left, [left_id, right_id]).join(of_right, [left_id, right_id]))
+        taken = now if taken is None else taken.unionByName(now)
+        left_over = cut_lineage(rest.join(now, left_id, "left_anti").join(now, right_id, "left_anti"))
+        drop_cut(rest)
+        rest = left_over
+    return rest if taken is None else taken
+
+
+def exact_then_fuzzy(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: str, blocks: list[Column] | None = None, least: float = 0.92, aliases: DataFrame | None = None) -> DataFrame:
     """One-to-one matches (left_id, right_id, method, similarity): equal keys that are unique on the right,
     then aliases (left_id, right_id), then the best fuzzy pairs among rows still unmatched, the highest
-    similarity first, no row used twice."""
+    similarity first, no row used twice. Without `blocks` every pair that reaches `least` is found."""
     alone = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(right_id).alias(right_id)).where("_n = 1").drop("_n")
     exact = left.select(left_id, key).join(alone, key).groupBy(right_id).agg(F.min(left_id).alias(left_id)).select(left_id, right_id, F.lit("exact").alias("method"), F.lit(1.0).alias("similarity"))
     if aliases is not None:
         named = aliases.join(exact, left_id, "left_anti").join(exact, right_id, "left_anti").select(left_id, right_id, F.lit("alias").alias("method"), F.lit(1.0).alias("similarity"))
         exact = exact.unionByName(named)
     l, r = left.join(exact, left_id, "left_anti"), right.join(exact, right_id, "left_anti")
-    rest = None
-    for _ in range(3):  # pairs that are each other's best are taken; what they free is looked at again
-        best = fuzzy_best(l, r, left_id, right_id, key, blocks, least)
-        first = F.row_number().over(Window.partitionBy(right_id).orderBy(F.desc("similarity"), left_id))
-        taken = best.withColumn("_p", first).where("_p = 1").select(left_id, right_id, F.lit("fuzzy").alias("method"), "similarity")
-        rest = taken if rest is None else rest.unionByName(taken)
-        l, r = l.join(taken, left_id, "left_anti"), r.join(taken, right_id, "left_anti")
-    return exact.unionByName(rest)
+    pairs = similar_pairs(l, r, key, least) if blocks is None else blocked_pairs(l, r, key, blocks, least)
+    ids = pairs.join(l.select(left_id, F.col(key).alias("_l")), "_l").join(r.select(right_id, F.col(key).alias("_r")), "_r").select(left_id, right_id, "similarity")
+    return exact.unionByName(best_first(ids, left_id, right_id).select(left_id, right_id, F.lit("fuzzy").alias("method"), "similarity"))
 
 
 def containment_match(texts: DataFrame, text_id: str, key: str, aliases: DataFrame, alias: str, entity: str) -> DataFrame:

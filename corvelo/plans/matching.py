@@ -28,11 +28,7 @@ def _keyed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def fuzzy_title_match(spark: SparkSession, folder: str) -> DataFrame:
     papers, works = _keyed(spark, folder)
-    words = F.array_sort(F.array_distinct(F.split("key", " ")))
-    # keys that share their longest three words, or their start, are compared
-    longest = F.slice(F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1)), 1, 3)
-    blocks = [F.array_join(longest, " "), F.concat(F.lit("^"), F.substring("key", 1, 24)), F.concat(F.lit("$"), F.reverse(F.substring(F.reverse("key"), 1, 24)))]
-    return M.exact_then_fuzzy(papers, works, "paper_seq", "openalex_id", "key", blocks)
+    return M.exact_then_fuzzy(papers, works, "paper_seq", "openalex_id", "key")
 
 
 @query(f"""WITH n AS (SELECT DISTINCT a.institution_name AS name FROM (SELECT unnest(affiliations) AS a FROM reconciled)), t AS (SELECT name, {KEY.format('name')} AS k FROM n WHERE name IS NOT NULL),

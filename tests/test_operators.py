@@ -197,6 +197,26 @@ def test_matching(spark):
     assert rows(matching.containment_match(texts, "i", "k", names, "alias", "e")) == [(1, "B", "acme research")]
 
 
+def test_fuzzy_pairs_are_complete(spark):
+    from difflib import SequenceMatcher
+
+    left = ["divergence bounds and tensor factorisation for robot grasping across languages", "online tensor factorisation for energy markets in 3 dimensions", "sparse memory replay for flood warning", "abc", "a"]
+    right = ["divergence bounds tensor factorisation for robot grasping across languuages", "online tesor factorisation for energy marketsin 3 dimensions", "xsparse memroy replay for flood warningz", "abd", "a", "sparse memory replay for floods warning"]
+    frame = lambda keys, id_: spark.createDataFrame([(k, x) for k, x in enumerate(keys)], f"{id_} int, key string")
+    for least in (0.6, 0.92):
+        brute = {(x, y) for x in left for y in right if SequenceMatcher(None, x, y, autojunk=False).ratio() >= least}
+        got = matching.similar_pairs(frame(left, "l"), frame(right, "r"), "key", least, size=2)
+        assert sorted((x._l, x._r) for x in got.collect()) == sorted(brute)
+    got = {(x.l, x.r): x.method for x in matching.exact_then_fuzzy(frame(left, "l"), frame(right, "r"), "l", "r", "key").collect()}
+    assert got == {(0, 0): "fuzzy", (1, 1): "fuzzy", (2, 5): "fuzzy", (4, 4): "exact"}
+
+
+def test_best_pairs_first(spark):
+    # 2 loses y to 1 and is then free for x, before 3
+    pairs = spark.createDataFrame([(1, "y", 0.99), (2, "y", 0.98), (2, "x", 0.97), (3, "x", 0.95)], "l int, r string, similarity double")
+    assert [(x.l, x.r) for x in matching.best_first(pairs, "l", "r").orderBy("l").collect()] == [(1, "y"), (2, "x")]
+
+
 def test_alignment_moves():
     same = lambda a, b: 1.0 if sorted(a.split()) == sorted(b.split()) else -1.0
     steps = monotonic_steps(["a b", "c", "d"], ["a b c", "d"], same)
