@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from corvelo.functions import text as T
 from corvelo.session import cut_lineage, drop_cut
 
 
@@ -196,3 +197,35 @@ def cosine_top(left: DataFrame, right: DataFrame, id_: str, vector: str, group:
     q, d = left.select(F.col(id_).alias("query"), group, F.col(vector).alias("_q")), right.select(F.col(id_).alias("neighbour"), group, F.col(vector).alias("_d"))
     pairs = q.join(d, group).where(F.col("query") != F.col("neighbour")).select("query", "neighbour", F.round(cosine(F.col("_q"), F.col("_d")), 6).alias("similarity"))
     return pairs.withColumn("rank_no", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))).where(F.col("rank_no") <= k)
+
+
+def cosine_search(left: DataFrame, right: DataFrame, id_: str, vector: str, k: int, size: int = 500) -> DataFrame:
+    """The `k` most similar other rows of all of `right` for each left row (query, neighbour, similarity,
+    rank_no); rows whose vector has no length are left out.
+
+    Packs of some `size` queries meet packs of rows; of each pair of packs only the best `k` per query,
+    with those that may tie after rounding, go on to the ranking.
+    """
+    width = T.cosine(F.col(vector), F.col(vector))
+
+    def packs(rows: DataFrame, ids: str, vectors: str) -> DataFrame:
+        rows = rows.where(width.isNotNull()).select(F.col(id_).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+        part = F.pmod(F.xxhash64("i"), F.lit(max(1, -(-rows.count() // size))))
+        return rows.groupBy(part.alias("part")).agg(F.collect_list(F.struct("i", "v")).alias("p")).select(F.col("p.i").alias(ids), F.col("p.v").alias(vectors))
+
+    def best(frames):
+        unit = lambda v: (m := np.array([list(x) for x in v])) / np.sqrt((m * m).sum(axis=1, keepdims=True))
+        for frame in frames:
+            for qi, qv, di, dv in zip(frame["_qi"], frame["_qv"], frame["_di"], frame["_dv"]):
+                qi, di = np.asarray(qi), np.asarray(di)
+                likeness = unit(qv) @ unit(dv).T
+                likeness[qi[:, None] == di[None, :]] = -np.inf
+                least = np.partition(likeness, -k, axis=1)[:, -k] if len(di) > k else np.full(len(qi), -2.0)
+                x, y = np.nonzero(likeness >= np.maximum(least, -2.0)[:, None] - 2e-6)
+                yield pd.DataFrame({"query": qi[x], "neighbour": di[y], "similarity": likeness[x, y]})
+
+    kind = left.schema[id_].dataType.simpleString()
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * left.sparkSession.sparkContext.defaultParallelism)
+    pairs = packs(right, "_di", "_dv").repartition(tasks).crossJoin(packs(left, "_qi", "_qv")).mapInPandas(best, f"query {kind}, neighbour {kind}, similarity double")
+    pairs = pairs.withColumn("similarity", F.round("similarity", 6))
+    return pairs.withColumn("rank_no", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))).where(F.col("rank_no") <= k)

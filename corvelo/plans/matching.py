@@ -58,6 +58,14 @@ def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     return M.cosine_top(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", "label", 10)
 
 
+@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT q.vec_id AS query, d.vec_id AS neighbour, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS similarity
+  FROM q JOIN embeddings d ON d.vec_id <> q.vec_id WHERE list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) IS NOT NULL)
+SELECT query, neighbour, similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS INTEGER) AS rank_no FROM p QUALIFY rank_no <= 10""")
+def cosine_topk_all(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return M.cosine_search(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 10)
+
+
 @query()
 def reconcile_ladder(spark: SparkSession, folder: str) -> DataFrame:
     # candidates by equal DOI and by title key, as a frozen catalogue offers them

@@ -211,6 +211,16 @@ def test_fuzzy_pairs_are_complete(spark):
     assert got == {(0, 0): "fuzzy", (1, 1): "fuzzy", (2, 5): "fuzzy", (4, 4): "exact"}
 
 
+def test_cosine_search_looks_at_all_rows(spark):
+    import numpy as np
+
+    v = np.random.default_rng(3).normal(size=(90, 5))
+    e = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)] + [(90, [0.0] * 5), (91, None)], "i long, v array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = {(x.query, x.rank_no): x.neighbour for x in matching.cosine_search(e.where("i % 9 = 0"), e, "i", "v", 3, size=20).collect()}
+    assert got == {(q, n + 1): int(d) for q in range(0, 90, 9) for n, d in enumerate([d for d in np.argsort(-(u @ u[q])) if d != q][:3])}
+
+
 def test_best_pairs_first(spark):
     # 2 loses y to 1 and is then free for x, before 3
     pairs = spark.createDataFrame([(1, "y", 0.99), (2, "y", 0.98), (2, "x", 0.97), (3, "x", 0.95)], "l int, r string, similarity double")
