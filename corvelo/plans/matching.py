@@ -68,13 +68,15 @@ def cosine_topk_all(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def reconcile_ladder(spark: SparkSession, folder: str) -> DataFrame:
-    # candidates by equal DOI and by title key, as a frozen catalogue offers them
+    # candidates by equal DOI and by similar title key, as a frozen catalogue offers them
     doi = lambda c: F.nullif(F.regexp_replace(F.regexp_extract(F.lower(c), r"(10\.\d+/\S+)", 1), r"[.,;\s]+$", ""), F.lit(""))
     p = table(spark, folder, "paper").select("seq", doi("doi").alias("d"), T.title_key(F.col("title")).alias("k"))
     w = table(spark, folder, "openalex_work").select("openalex_id", doi("doi").alias("d"), T.title_key(F.col("title")).alias("k")).distinct()
     none = F.array().cast("array<string>").alias("affiliations")
     by_doi = p.where("d IS NOT NULL").join(w.where("d IS NOT NULL"), "d").select("seq", F.lit("doi").alias("stage"), "openalex_id", F.lit(1.0).alias("similarity"), none)
-    by_title = p.where("k <> ''").join(w, "k").select("seq", F.lit("title").alias("stage"), "openalex_id", F.lit(1.0).alias("similarity"), none)
+    # titles somewhat below the ladder's threshold come along, so that it decides and the trail tells of them
+    similar = M.similar_pairs(p, w, "k", 0.92)
+    by_title = p.join(similar.withColumnRenamed("_l", "k"), "k").join(w.select("openalex_id", F.col("k").alias("_r")), "_r").select("seq", F.lit("title").alias("stage"), "openalex_id", "similarity", none)
     return M.reconcile(table(spark, folder, "paper").select("seq"), by_doi.unionByName(by_title), "seq").select("seq", "openalex_id", "match_method", F.size("diagnostics").alias("stages"))
 
 

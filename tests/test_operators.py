@@ -221,6 +221,18 @@ def test_cosine_search_looks_at_all_rows(spark):
     assert got == {(q, n + 1): int(d) for q in range(0, 90, 9) for n, d in enumerate([d for d in np.argsort(-(u @ u[q])) if d != q][:3])}
 
 
+def test_ladder_weighs_similar_titles(spark, tmp_path):
+    from corvelo.plans.matching import reconcile_ladder
+
+    titles = ["Sparse memory replay for flood warning in cities", "Token pruning for hospitals", "Graph anchors", "Robust parsing of long theorem proofs"]
+    other = ["Sparse memory repaly for flood warning in cities", "Token pruning for hospitals xy", "Speech", "Robust parsing of long theorem proofs"]
+    spark.createDataFrame([(k, None, t) for k, t in enumerate(titles)], "seq long, doi string, title string").write.parquet(f"{tmp_path}/paper.parquet")
+    spark.createDataFrame([(f"W{k}", None, t) for k, t in enumerate(other)], "openalex_id string, doi string, title string").write.parquet(f"{tmp_path}/openalex_work.parquet")
+    got = {x.seq: (x.openalex_id, x.match_method, x.stages) for x in reconcile_ladder(spark, str(tmp_path)).collect()}
+    # the second is similar by 0.947, tried and rejected
+    assert got == {0: ("W0", "title", 1), 1: (None, None, 1), 2: (None, None, 0), 3: ("W3", "title", 1)}
+
+
 def test_best_pairs_first(spark):
     # 2 loses y to 1 and is then free for x, before 3
     pairs = spark.createDataFrame([(1, "y", 0.99), (2, "y", 0.98), (2, "x", 0.97), (3, "x", 0.95)], "l int, r string, similarity double")
