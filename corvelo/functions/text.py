@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
+from corvelo.functions import vocabulary as V
 from corvelo.functions.vocabulary import ABBREVIATIONS, COUNTRY_ALIASES
 
 
@@ -63,8 +64,21 @@ def title_key(title: Column) -> Column:
 
 def organisation_key(name: Column) -> Column:
     """The comparison key of an affiliation, without leading contribution notes."""
-    bare = F.regexp_replace(name, r"(?i)^\s*(?:[*†‡]\s*)?(?:(?:these authors )?(?:equal(?:ly)? contribut\w*|corresponding author|work done (?:at|while)[^,;:]*)\s*[:;,.]?\s*)+", "")
-    return F.trim(F.regexp_replace(casefold(strip_marks(bare)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(casefold(strip_marks(F.regexp_replace(name, V.LEADING_NOTE, ""))), "[^a-z0-9]+", " "))
+
+
+@pandas_udf(ArrayType(StringType()))
+def organisation_keys(names: pd.Series) -> pd.Series:
+    """`organisation_key` of every entry of an array; "" for null."""
+    note, known = re.compile(V.LEADING_NOTE), {None: ""}
+
+    def key(name: str | None) -> str:
+        if name not in known:
+            bare = unicodedata.normalize("NFKD", note.sub("", name))
+            known[name] = re.sub("[^a-z0-9]+", " ", "".join(c for c in bare if not unicodedata.combining(c)).casefold()).strip()
+        return known[name]
+
+    return names.map(lambda entries: [key(n) for n in entries] if entries is not None else [])
 
 
 def compact_key(text: Column) -> Column:
@@ -102,27 +116,39 @@ def iso_date(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))))
 
 
+# Fixed value: a sentence ends before white space and a capital letter, opening marks aside.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[\"'“”‘’(]*[A-ZÁÀÂÃÉÊÍÓÔÕÚÜÇ])"
+
+
 def split_sentences(text: Column) -> Column:
     """Sentences that end in . ! or ? before a capital letter, not after an abbreviation or in a decimal."""
     held = text
     for short in ABBREVIATIONS:
         held = F.replace(held, F.lit(short), F.lit(short.replace(".", "\u0001")))
     held = F.regexp_replace(held, r"(\d)\.(?=\d)", "$1\u0001")
-    parts = F.split(held, r"(?<=[.!?])\s+(?=[\"'“”‘’(]*[A-ZÁÀÂÃÉÊÍÓÔÕÚÜÇ])")
+    parts = F.split(held, SENTENCE_END)
     return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit(".")))), lambda s: s != "")
 
 
 def country_codes(text: Column) -> Column:
-    """Sorted codes of the countries a text names as whole words; words broken over lines are joined."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"-\s*\n\s*", "")
-    tests = []
-    for code, names in COUNTRY_ALIASES.items():
-        pattern = r"(?iU)(?<!\w)(?:" + "|".join(re.escape(n).replace("\\ ", r"\s+") for n in names) + r")(?!\w)"
-        named = joined.rlike(pattern)
-        if code in ("US", "GB"):
-            named = named | joined.rlike(r"(?<!\w)" + {"US": "US", "GB": "UK"}[code] + r"(?!\w)")
-        tests.append(F.when(named, F.lit(code)))
-    return F.array_sort(F.array_compact(F.array(*tests)))
+    """Sorted codes of the countries a text names as whole words; words broken over lines are joined, and
+    campuses that bear another territory's name count where they are."""
+    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)(?<=\w)-\s*\n\s*(?=\w)", "")
+    joined = F.regexp_replace(joined, r"(?U)\s+", " ")
+    for pattern, name in V.CAMPUSES:
+        joined = F.regexp_replace(joined, pattern, name)
+    shown = {"US": "US", "GB": "UK"}  # in capitals
+
+    def codes(t: Column) -> Column:
+        tests = []
+        for code, names in COUNTRY_ALIASES.items():
+            named = t.rlike(r"(?iU)(?<!\w)(?:" + "|".join(map(re.escape, names)) + r")(?!\w)")
+            if code in shown:
+                named = named | t.rlike(rf"(?<![A-Z]){shown[code]}(?![A-Z])")
+            tests.append(F.when(named, F.lit(code)))
+        return F.array_sort(F.array_compact(F.array(*tests)))
+
+    return let(joined, codes)
 
 
 def single_country(codes: Column) -> Column:
@@ -131,11 +157,14 @@ def single_country(codes: Column) -> Column:
 
 
 def noted_countries(note: Column) -> Column:
-    """Codes in a reviewer's note: its line of expected countries up to a remark on the pipeline, names and
-    upper-case ISO codes; UK counts as GB."""
-    line = F.split(F.regexp_extract(F.coalesce(note, F.lit("")), r"(?im)^.*?expected countries:\s*(.*)$", 1), r"(?i);\s*pipeline")[0]
-    codes = F.transform(F.regexp_extract_all(line, F.lit(r"\b([A-Z]{2})\b"), 1), lambda c: F.when(c == "UK", "GB").otherwise(c))
-    return F.array_sort(F.array_union(country_codes(line), codes))
+    """Codes in a reviewer's note: its first line of expected countries, or the whole note where there is
+    none, up to a remark on the pipeline; names, and the ISO codes of the alias table in capitals; UK
+    counts as GB."""
+    note = F.coalesce(note, F.lit(""))
+    said = F.coalesce(F.nullif(F.regexp_extract(note, V.EXPECTED_COUNTRIES, 1), F.lit("")), note)
+    said = F.split(said, V.PIPELINE_REMARK, 2)[0]
+    capitals = F.transform(F.regexp_extract_all(said, F.lit(r"(?<![A-Z])([A-Z]{2})(?![A-Z])"), 1), lambda c: F.when(c == "UK", "GB").otherwise(c))
+    return F.array_sort(F.array_union(country_codes(said), F.array_intersect(capitals, F.array(*map(F.lit, COUNTRY_ALIASES)))))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -158,17 +187,21 @@ def windows(items: Column, longest: int) -> Column:
     return F.concat(*(ngrams(items, n) for n in range(1, longest + 1)))
 
 
-def evidence_units(title: Column, abstract: Column) -> Column:
-    """The title, then the sentences of the abstract."""
-    sentences = F.filter(F.split(F.coalesce(abstract, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
-    return F.concat(F.array(F.coalesce(title, F.lit(""))), sentences)
+def abstract_part(text: Column) -> Column:
+    """A text in single spaces; where an abstract heading stands in its first 1,200 characters, what follows
+    it up to the heading of the introduction."""
 
+    def part(t: Column) -> Column:
+        after = F.regexp_extract(F.substring(t, 1, 1200), r"(?is)^(.*?" + V.ABSTRACT_HEADING.removeprefix("(?i)") + ")", 1)
+        return F.when(after != "", F.split(F.substr(t, F.length(after) + 1), V.INTRODUCTION_HEADING, 2)[0]).otherwise(t)
 
-def abstract_part(text: Column) -> Column:
-    """What follows an abstract heading in the first 1,200 characters, up to an introduction heading."""
-    at = F.regexp_instr(F.substring(text, 1, 1200), F.lit(r"(?i)\babstract\b"))
-    body = F.when(at > 0, F.substr(text, at + 8)).otherwise(text)
-    return collapse(F.regexp_replace(F.split(body, r"(?im)^\s*(?:\d+\.?\s*)?introduction\b", 2)[0], r"^[\s:.\-—]+", ""))
+    return let(collapse(F.coalesce(text, F.lit(""))), part)
+
+
+def evidence_units(title: Column, abstract: Column) -> Column:
+    """The title, then the sentences of the abstract, in lower case; a blank title stays as unit 0."""
+    sentences = F.filter(F.transform(F.split(F.lower(abstract_part(abstract)), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.concat(F.array(F.trim(F.lower(F.coalesce(title, F.lit(""))))), sentences)
 
 
 def screen(text: Column, patterns: dict[str, str]) -> Column:
@@ -176,39 +209,44 @@ def screen(text: Column, patterns: dict[str, str]) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(name)) for name, p in patterns.items())))
 
 
-def classify_units(units: Column, patterns: dict[str, tuple[str, str | None]]) -> Column:
-    """Dimensions found in a text's units: a unit matches the first pattern and, read after the title (unit
-    0), not the second."""
+def classify_units(units: Column, patterns: dict[str, tuple[str, str | None, str | None]]) -> Column:
+    """Dimensions found in a text's units. A unit is evidence where it matches the first pattern, or, as the title (unit
+    0), the second, and does not match the third when read after the title."""
 
-    def found(u: Column, include: str, exclude: str | None) -> Column:
+    def found(u: Column, anywhere: str, in_title: str | None, exclude: str | None) -> Column:
         def hit(unit: Column, i: Column) -> Column:
-            context = F.when(i == 0, unit).otherwise(F.concat_ws(". ", F.get(u, F.lit(0)), unit))
-            return unit.rlike(include) & (~context.rlike(exclude) if exclude else F.lit(True))
+            match = unit.rlike(anywhere) | ((i == 0) & unit.rlike(in_title)) if in_title else unit.rlike(anywhere)
+            return match & ~F.concat(u[0], F.lit(". "), unit).rlike(exclude) if exclude else match
 
-        return F.size(F.filter(u, hit)) > 0
+        return F.exists(F.transform(u, hit), lambda x: x)
 
-    return let(units, lambda u: F.array_compact(F.array(*(F.when(found(u, *p), F.lit(name)) for name, p in patterns.items()))))
+    plain = F.transform(units, lambda unit: F.regexp_replace(unit, V.NO_EVIDENCE, ""))
+    return let(plain, lambda u: F.array_compact(F.array(*(F.when(found(u, *p), F.lit(name)) for name, p in patterns.items()))))
 
 
-def lexically_supported(name: Column, text: Column, generic: list[str], least: int = 2) -> Column:
-    """Whether a key occurs whole in a text key, or shares `least` words that are not generic."""
+def lexically_supported(name: Column, text: Column, generic: list[str] = V.GENERIC_WORDS, least: int = 2) -> Column:
+    """Whether a key occurs whole in a text key, or shares `least` words that are not generic; blank keys
+    support nothing."""
     shared = F.array_intersect(F.array_except(F.split(name, " "), F.array(*map(F.lit, generic))), F.split(text, " "))
-    return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), name, F.lit(" "))) | (F.size(shared) >= least)
+    return (F.length(name) > 0) & (F.length(text) > 0) & (_holds(text, name) | (F.size(shared) >= least))
+
+
+def _holds(text: Column, words: Column) -> Column:
+    return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), words, F.lit(" ")))
 
 
-def text_supports(name: Column, text: Column, generic: list[str], ambiguous: list[str], least: int = 2, share: float = 0.6) -> Column:
-    """Containment without a leading article, or an overlap of `least` words and `share` of the name's;
-    ambiguous bare names are never supported."""
-    bare = F.regexp_replace(name, "^the ", "")
-    words = F.split(bare, " ")
-    shared = F.size(F.array_intersect(F.array_except(words, F.array(*map(F.lit, generic))), F.split(text, " ")))
-    whole = F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), bare, F.lit(" ")))
-    return ~bare.isin(ambiguous) & (whole | ((shared >= least) & (shared >= share * F.size(words))))
+def text_supports(name: Column, text: Column, generic: list[str] = V.GENERIC_WORDS, ambiguous: list[str] = V.AMBIGUOUS_NAMES, least: int = 2, share: float = 0.6) -> Column:
+    """Whether a text key holds a name key, a leading article aside, or `least` of its distinctive words and
+    `share` of them; ambiguous bare names and blank keys are never supported."""
+    own = F.array_except(F.split(name, " "), F.array(*map(F.lit, generic)))
+    shared = F.size(F.array_intersect(own, F.split(text, " ")))
+    known = (F.length(name) > 0) & (F.length(text) > 0) & ~name.isin(ambiguous)
+    return known & (_holds(text, F.regexp_replace(name, "^the ", "")) | ((shared >= least) & (shared >= share * F.size(own))))
 
 
-def mentions_all(words: Column, text_words: Column) -> Column:
-    """Whether every word of an entity occurs in a text."""
-    return (F.size(words) > 0) & (F.size(F.array_except(words, text_words)) == 0)
+def mentions_all(words: Column, text_words: Column, ignored: list[str] = V.ENTITY_IGNORED) -> Column:
+    """Whether every telling word of an entity, one at least, occurs in a text."""
+    return let(F.array_except(words, F.array(*map(F.lit, ignored))), lambda own: (F.size(own) > 0) & (F.size(F.array_except(own, text_words)) == 0))
 
 
 def frontmatter(text: Column, key: str) -> Column:

@@ -6,11 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvelo.functions.text import collapse, strip_tags, unescape
-from corvelo.functions.vocabulary import OFFICIAL_HOSTS, REGISTRY_HOSTS, SOCIAL_HOSTS
+from corvelo.functions.vocabulary import HOST_IGNORED, OFFICIAL_HOSTS, REGISTRY_HOSTS, SOCIAL_HOSTS
+
+
+def full_host(url: Column) -> Column:
+    """The host of an address in lower case; null where it has none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
+
 
 def host(url: Column) -> Column:
     """The host of an address in lower case without www; null where it has none."""
-    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), r"^www\.", ""), F.lit(""))
+    return F.regexp_replace(full_host(url), r"^www\.", "")
 
 
 def under(name: Column, domain: str) -> Column:
@@ -19,15 +25,16 @@ def under(name: Column, domain: str) -> Column:
 
 def source_authority(url: Column) -> Column:
     """0 for official endings, 1 for registries, 3 for social sites, 2 for the rest."""
-    h = F.coalesce(host(url), F.lit(""))
+    h = F.coalesce(full_host(url), F.lit(""))
     ends = lambda endings: F.exists(F.array(*map(F.lit, endings)), lambda e: F.endswith(h, e))
     return F.when(ends(OFFICIAL_HOSTS), 0).when(h.isin(REGISTRY_HOSTS), 1).when(ends(SOCIAL_HOSTS), 3).otherwise(2)
 
 
 def first_party(url: Column, words: Column) -> Column:
-    """Whether an organisation's words (four letters and more) appear in the host."""
-    h = F.coalesce(host(url), F.lit(""))
-    return F.exists(F.filter(words, lambda w: F.length(w) >= 4), lambda w: F.contains(h, w))
+    """Whether a page is official, a registry's, or has a telling word of the organisation (four letters and
+    more) as a word of its host."""
+    telling = F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(HOST_IGNORED))
+    return (source_authority(url) <= 1) | F.arrays_overlap(telling, F.split(F.coalesce(full_host(url), F.lit("")), "[^a-z0-9]+"))
 
 
 def profile_page(url: Column, author_words: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Collection
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,43 +12,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from corvelo.functions import vocabulary as V
 from corvelo.functions.text import country_codes, single_country
-from corvelo.functions.vocabulary import AFFILIATION_WORDS
 from corvelo.operators.checks import require_covered
 from corvelo.operators.records import merge_affiliations
 
-_BROKEN = re.compile(r"-\s*\n\s*")
-_STOP = re.compile(r"(?im)^\s*(?:\d+\.?\s*)?(?:abstract|introduction)\b")
-_NUMBERED = re.compile(r"(?<![\w.])(\d{1,2})\s*(?=[A-ZÀ-Þ])")
-_KEYWORD = re.compile(r"\b(?:" + "|".join(map(re.escape, AFFILIATION_WORDS)) + r")\b", re.I)
+_BROKEN = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)")
+_CORRESPONDENCE, _END, _KEYWORD, _NUMBERED = (re.compile(p) for p in (V.CORRESPONDENCE, V.FRONT_MATTER_END, "(?i)" + V.AFFILIATION_KEYWORDS, V.NUMBERED_LINE))
+_MARK = re.compile(r"(?<!\d)\d+(?=\s*[A-Z])")
+_EDGE = " ,;*†‡0123456789"
+
+
+def plain_key(text: str) -> str:
+    """Lower-case ASCII letters and digits of a text, single spaces between."""
+    return re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()).strip()
 
 
 def region(text: str, lines_before: int = 40, fallback: int = 15) -> str:
-    """The part of front matter that lists affiliations: the lines before a correspondence note, else those
-    before the abstract or introduction, else the last few lines."""
+    """The part of front matter that lists affiliations. Of the `lines_before` lines before a correspondence
+    note, those from the first numbered line that names an organisation, or the last `fallback` lines where
+    there is none; without a note, what stands before the abstract or introduction."""
     text = _BROKEN.sub("", text or "")
-    at = re.search(r"(?i)correspondence to\s*:", text)
-    if at:
-        return "\n".join(text[: at.start()].splitlines()[-lines_before:])
-    cut = _STOP.search(text)
-    return text[: cut.start()] if cut and cut.start() else "\n".join(text.splitlines()[-fallback:])
+    note = _CORRESPONDENCE.search(text)
+    if not note:
+        return _END.split(text, maxsplit=1)[0]
+    lines = text[: note.start()].splitlines()
+    numbered = lambda line: _NUMBERED.search(line) and _KEYWORD.search(re.sub(r"(?<=\d)(?=[A-Za-z])", " ", line))
+    start = next((k for k in range(max(0, len(lines) - lines_before), len(lines)) if numbered(lines[k])), max(0, len(lines) - fallback))
+    return "\n".join(lines[start:])
 
 
 def numbered_parts(line: str) -> list[str]:
-    """The parts of a line such as `1Org A 2Org B`, without their numbers; the line itself where it has none."""
-    marks = list(_NUMBERED.finditer(line))
-    if not marks:
-        return [line.strip()] if line.strip() else []
-    ends = [m.start() for m in marks[1:]] + [len(line)]
-    return [p for m, e in zip(marks, ends) if (p := line[m.end() : e].strip(" ,;"))]
-
-
-def candidates(text: str, excluded: tuple[str, ...] = ("association for computational linguistics",), shortest: int = 4, longest: int = 300) -> list[str]:
-    """Distinct lines of a region that name an organisation, numbered ones taken apart; where there are none,
-    the short lines."""
-    parts = [p for line in region(text).splitlines() for p in numbered_parts(line)]
-    parts = [p for p in dict.fromkeys(" ".join(p.split()) for p in parts) if shortest <= len(p) <= longest and not any(e in p.lower() for e in excluded)]
-    return [p for p in parts if _KEYWORD.search(p)] or [p for p in parts if len(p) <= 180 and re.search(r",\s*[A-Z]", p)]
+    """The parts of a line such as `1Org A 2Org B`, without their numbers; none where there are no numbers."""
+    line = " ".join(line.split())
+    marks = list(_MARK.finditer(line))
+    return [line[m.end() : n].strip(" ,;*0123456789") for m, n in zip(marks, [m.start() for m in marks[1:]] + [len(line)])]
+
+
+def candidates(text: str, known: Collection[str] = (), shortest: int = 4, longest: int = 300) -> list[str]:
+    """Distinct affiliations of a region: parts of numbered lines that name an organisation by a keyword or a
+    known key (`known`), then whole lines by a keyword. Where there are none, the short lines before the
+    abstract that hold a known key. Publishers are left out."""
+    holds = lambda part: any(f" {k} " in f" {plain_key(part)} " for k in known)
+    lines = [" ".join(line.split()) for line in region(text).splitlines()]
+    parts = [(p, _KEYWORD.search(p) or holds(p)) for line in lines for p in numbered_parts(line)]
+    parts += [(p, _KEYWORD.search(p)) for line in lines for p in [line.strip(_EDGE)]]
+    fit = [p for p, ok in parts if shortest <= len(p) <= longest and ok and not any(e in plain_key(p) for e in V.NON_AUTHOR_ORGANIZATIONS)]
+    if not fit:
+        before = re.split(r"(?im)^\s*abstract\s*$", text or "", maxsplit=1)[0]
+        fit = [p for line in before.splitlines() for p in [" ".join(line.split()).strip(_EDGE)] if shortest <= len(p) <= 180 and holds(p)]
+    return list(dict.fromkeys(fit))
 
 
 @pandas_udf(StringType())
@@ -59,18 +74,23 @@ def candidate_lines(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: candidates(t) if t is not None else [])
 
 
-def augment_countries(frame: DataFrame, text: str) -> DataFrame:
-    """Adds one affiliation per country that the front matter names, with a diagnostic of the outcome; rows
-    that have a country already stay as they are."""
-    found = country_codes(affiliation_region(F.col(text)))
+def augment_countries(frame: DataFrame, text: str, method: str | None = None) -> DataFrame:
+    """Adds an affiliation for each country that the front matter names and no affiliation has, merged with
+    those there are, a diagnostic of the outcome, and `method` to match_method if given. A null text adds
+    the diagnostic only."""
+    held = F.coalesce("affiliations", F.array())
     blank = F.lit(None).cast("string")
-    extra = F.transform(found, lambda c: F.struct(F.lit("").alias("institution_id"), F.lit("").alias("institution_name"), c.alias("country_code"), blank.alias("institution_type")))
-    has = F.exists(F.coalesce("affiliations", F.array()), lambda a: F.coalesce(a["country_code"], F.lit("")) != "")
-    note = F.struct(F.lit("pdf_country").alias("stage"), F.when(F.size(found) > 0, "matched").otherwise("not_found").alias("outcome"), F.array_join(found, "|").alias("detail"))
-    return frame.withColumns({
-        "affiliations": F.when(has, F.col("affiliations")).otherwise(merge_affiliations(F.concat(F.coalesce("affiliations", F.array()), extra))),
-        "diagnostics": F.when(has, F.col("diagnostics")).otherwise(F.concat(F.coalesce("diagnostics", F.array()), F.array(note))),
-    })
+    codes = country_codes(affiliation_region(F.col(text)))
+    known = F.coalesce(F.transform(held, lambda a: a["country_code"]), F.array())
+    # The added affiliation's name, the diagnostic's stage and outcomes.
+    name = lambda c: F.concat(F.lit("Country explicitly stated in PDF affiliation block ("), c, F.lit(")"))
+    extra = F.transform(F.array_except(codes, known), lambda c: F.struct(F.lit("").alias("institution_id"), name(c).alias("institution_name"), c.alias("country_code"), blank.alias("institution_type")))
+    outcome = F.when(F.col(text).isNull(), "not_available").when(F.size(codes) > 0, "success").otherwise("unresolved")
+    note = F.struct(F.lit("pdf_country_census").alias("stage"), outcome.alias("outcome"), F.when(F.col(text).isNull(), "No official PDF URL").otherwise(F.array_join(codes, ",")).alias("detail"))
+    changed = {"affiliations": merge_affiliations(F.concat(held, F.when(F.col(text).isNull(), F.slice(extra, 1, 0)).otherwise(extra))), "diagnostics": F.concat(F.coalesce("diagnostics", F.array()), F.array(note))}
+    if method:
+        changed["match_method"] = F.concat_ws("+", F.nullif("match_method", F.lit("")), F.lit(method))
+    return frame.withColumns(changed)
 
 
 def resolved_country(name: Column, registry_country: Column) -> Column:

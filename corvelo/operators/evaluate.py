@@ -34,6 +34,15 @@ def metric_slices(rows: DataFrame, truth: str, predicted: str, venue: str, core:
     return binary_metrics(tagged, truth, predicted, ["slice"])
 
 
+def dimension_names(text: Column, aliases: dict[str, str] | None = None) -> Column:
+    """The dimensions of a text separated by |, trimmed, under their proper names; `none` and blanks are none."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda x: F.trim(x))
+    if aliases:
+        proper = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+        parts = F.transform(parts, lambda x: F.coalesce(F.element_at(proper, x), x))
+    return F.array_distinct(F.filter(parts, lambda x: ~x.isin("", "none")))
+
+
 def dimension_metrics(rows: DataFrame, dimensions: list[str], truth: str, predicted: str) -> DataFrame:
     """Metrics per dimension of two arrays of labels."""
     each = rows.select(F.explode(F.array(*map(F.lit, dimensions))).alias("dimension"), truth, predicted)
@@ -41,13 +50,19 @@ def dimension_metrics(rows: DataFrame, dimensions: list[str], truth: str, predic
     return binary_metrics(each.select("dimension", has(truth).alias("_t"), has(predicted).alias("_p")), "_t", "_p", ["dimension"])
 
 
-def release_gate(slices: DataFrame, least: float = 0.9, floor: float = 0.8, size: int = 10) -> DataFrame:
+def release_gate(slices: DataFrame, dimensions: DataFrame | None = None, least: float = 0.9, floor: float = 0.8, size: int = 10) -> DataFrame:
     """One row `passes`: overall precision and recall reach `least`; venues with a denominator of `size` at
-    least reach `floor`."""
+    least reach `floor`. With `dimensions` (metrics per dimension) also `validated_dimensions`, those that
+    reach `least` in both, in order of name, and `dimensions_pass`, whether all do."""
     c = F.col
     venue_ok = ((c("tp") + c("fp") < size) | (c("precision") >= floor)) & ((c("tp") + c("fn") < size) | (c("recall") >= floor))
     ok = F.when(c("slice") == "overall", (c("precision") >= least) & (c("recall") >= least)).when(c("slice").startswith("venue:"), venue_ok).otherwise(True)
-    return slices.agg(F.coalesce(F.bool_and(ok), F.lit(False)).alias("passes"))
+    gate = slices.agg(F.coalesce(F.bool_and(ok), F.lit(False)).alias("passes"))
+    if dimensions is None:
+        return gate
+    good = (c("precision") >= least) & (c("recall") >= least)
+    named = dimensions.agg(F.array_join(F.array_sort(F.collect_set(F.when(good, c("dimension")))), "|").alias("validated_dimensions"), F.coalesce(F.bool_and(good), F.lit(False)).alias("dimensions_pass"))
+    return gate.crossJoin(F.broadcast(named))  # a row each
 
 
 def threshold_grid(scored: DataFrame, truth: str, score: str, low: float, high: float, steps: int) -> DataFrame:
@@ -176,6 +191,24 @@ def cohen_kappa(rows: DataFrame, left: str, right: str, gate: float = 0.7) -> Da
     return both.select(F.col("total").alias("n"), "agreement", "chance", kappa.alias("kappa"), (F.col("agreement") >= gate).alias("passes"))
 
 
+def human_agreement(review: DataFrame, key: DataFrame, id_: str = "sample_id", gate: float = 0.7) -> DataFrame:
+    """One row on reviewed items (id, choice) against judges' choices (id, judge_choice): completed items (choice A, B
+    or tie), those with a stable judge, unstable ones, agreement with its bootstrap interval, kappa and
+    the gate's verdict. Raises where an id repeats, or where no completed item has a stable judge."""
+    from corvelo.operators.records import merge_one_to_one
+
+    choices = ("A", "B", "tie")
+    both = merge_one_to_one(review.select(id_, F.trim("choice").alias("choice")), key.select(id_, "judge_choice"), [id_])
+    done = both.where(F.col("choice").isin(*choices))
+    valid = done.where(F.col("judge_choice").isin(*choices)).withColumn("same", (F.col("choice") == F.col("judge_choice")).cast("double"))
+    if valid.isEmpty():
+        raise ValueError("no completed item has a stable judge choice")
+    counts = done.agg(F.count(F.lit(1)).alias("completed_items"), F.coalesce(F.sum((F.col("judge_choice") == "unstable").cast("int")), F.lit(0)).alias("unstable_judge_items"))
+    interval = bootstrap_mean_ci(valid.withColumn("all", F.lit(1)), ["all"], id_, "same").select(F.col("n").alias("stable_judge_items"), F.col("ci_low").alias("agreement_ci_low"), F.col("ci_high").alias("agreement_ci_high"))
+    kappa = cohen_kappa(valid, "choice", "judge_choice", gate).select(F.col("agreement").alias("raw_agreement"), F.col("kappa").alias("cohen_kappa"), "passes")
+    return counts.crossJoin(F.broadcast(interval)).crossJoin(F.broadcast(kappa))  # a row each
+
+
 def grouped_means(rows: DataFrame, expected: DataFrame, keys: list[str], by: list[str], value: str) -> DataFrame:
     """Mean of scores by group; raises unless exactly the expected keys are scored."""
     from corvelo.operators.checks import require_same_keys

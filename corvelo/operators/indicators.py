@@ -50,14 +50,14 @@ def country_sensitivity(records: DataFrame, panel: DataFrame, warn_below: float
     joined = (
         joined.withColumn("full_rank", competition_rank("full_count", ["scope"]))
         .withColumn("fractional_rank", competition_rank("fractional_count", ["scope"]))
-        .withColumn("observed_full_share", F.round(ratio(full, F.col("with_country")), 6))
-        .withColumn("observed_fractional_share", F.round(ratio(F.col("fractional_count"), F.col("with_country")), 6))
+        .withColumn("observed_full_share", F.round(ratio(full, F.col("with_country")), 8))
+        .withColumn("observed_fractional_share", F.round(ratio(F.col("fractional_count"), F.col("with_country")), 8))
         .withColumn("mar_full_count", F.round(ratio(full, share), 6))
-        .withColumn("lower_bound", F.round(ratio(full, F.col("universe")), 6))
-        .withColumn("upper_bound", F.round(ratio(full + F.col("missing_country"), F.col("universe")), 6))
+        .withColumn("lower_bound", F.round(ratio(full, F.col("universe")), 8))
+        .withColumn("upper_bound", F.round(ratio(full + F.col("missing_country"), F.col("universe")), 8))
     )
     return joined.select(
-        F.col("scope").alias("venue"), "country_code", "universe", "with_country", "missing_country", F.round("coverage", 6).alias("coverage"), "full_count", F.round("fractional_count", 6).alias("fractional_count"),
+        F.col("scope").alias("venue"), "country_code", "universe", "with_country", "missing_country", F.round("coverage", 8).alias("coverage"), "full_count", F.round("fractional_count", 6).alias("fractional_count"),
         "observed_full_share", "observed_fractional_share", "mar_full_count", "lower_bound", "upper_bound", "full_rank", "fractional_rank", (F.col("full_rank") - F.col("fractional_rank")).alias("rank_change"), (share < warn_below).alias("low_coverage"),
     )
 

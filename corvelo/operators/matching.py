@@ -110,9 +110,12 @@ def exact_then_fuzzy(left: DataFrame, right: DataFrame, left_id: str, right_id:
 
 def containment_match(texts: DataFrame, text_id: str, key: str, aliases: DataFrame, alias: str, entity: str) -> DataFrame:
     """The longest alias found as whole words in each text key (text_id, entity, alias). Aliases are found
-    by their first word, an equi-join, and then checked whole."""
+    by their rarest word, an equi-join, and then checked whole."""
     words = texts.select(text_id, key, F.explode(F.array_distinct(F.split(key, " "))).alias("_w"))
-    firsts = aliases.select(F.col(alias), F.col(entity), F.split(alias, " ")[0].alias("_w")).where(F.length(alias) > 0)
+    # of an alias's words the one that the fewest texts hold, so that no common word brings all texts together
+    held = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    each = aliases.where(F.length(alias) > 0).select(alias, entity, F.explode(F.array_distinct(F.split(alias, " "))).alias("_w")).join(held, "_w", "left")
+    firsts = each.groupBy(alias, entity).agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_w"))
     inside = F.contains(F.concat(F.lit(" "), F.col(key), F.lit(" ")), F.concat(F.lit(" "), F.col(alias), F.lit(" ")))
     found = words.join(firsts, "_w").where(inside)
     return found.groupBy(text_id).agg(F.max_by(F.struct(entity, alias), F.struct(F.length(alias), alias, entity)).alias("b")).select(text_id, "b.*")

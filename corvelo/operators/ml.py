@@ -2,30 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from itertools import product
+
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-
-def feature_text(title: Column, abstract: Column, rules: Column, venue: Column | None = None) -> Column:
-    """Title, abstract and a token per matched rule, with a venue token if wanted."""
-    tokens = F.transform(F.coalesce(rules, F.array()), lambda r: F.concat(F.lit("rule_"), r))
-    parts = [F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit("")), F.array_join(tokens, " ")]
-    return F.concat_ws(" ", *parts, *([F.concat(F.lit("venue_"), venue)] if venue is not None else []))
+from corvelo.session import cut_lineage, drop_cut
 
 
-def text_pipeline(text: str, label: str, kind: str = "logistic", vocabulary: int = 50_000, weight: str = "weight") -> Pipeline:
-    """Words and word pairs, TF-IDF, class-weighted logistic regression or boosted trees."""
-    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2)
+def feature_text(title: Column, abstract: Column, rules: Column, venue: Column | None = None) -> Column:
+    """Whether a rule matched, a token per matched rule, then title and abstract, with a venue token if wanted."""
+    rules = F.coalesce(rules, F.array().cast("array<string>"))
+    # The tokens and the layout.
+    head = F.concat(F.when(F.size(rules) > 0, "RULE_POSITIVE").otherwise("RULE_NEGATIVE"), F.lit(" "), F.array_join(F.transform(rules, lambda r: F.concat(F.lit("RULE_DIM_"), r)), " "))
+    lines = [head, F.concat(F.lit("TITLE: "), F.coalesce(title, F.lit(""))), F.concat(F.lit("ABSTRACT: "), F.coalesce(abstract, F.lit("")))]
+    return F.concat_ws("\n", *lines, *([F.concat(F.lit("VENUE: "), venue)] if venue is not None else []))
+
+
+class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts n of a sparse vector as 1 + log n; Spark's own transformers leave counts as they are."""
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None) -> None:
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        # a vector's parts are read in the JVM; JSON is the built-in way back to a vector
+        parts = F.unwrap_udt(self.getInputCol())
+        logs = F.transform(parts["values"], lambda n: 1 + F.log(n))
+        text = F.to_json(F.struct(F.struct(parts["type"].alias("type"), parts["size"].alias("size"), parts["indices"].alias("indices"), logs.alias("values")).alias("v")))
+        return dataset.withColumn(self.getOutputCol(), F.from_json(text, StructType([StructField("v", VectorUDT())]))["v"])
+
+
+def word_letters(text: str, low: int, high: int) -> str:
+    """SQL of the runs of `low` to `high` letters inside words, a space before and after each word."""
+    words = rf"filter(split(regexp_replace(lower({text}), '(?U)\\\\W+', ' '), ' '), w -> w <> '')"
+    runs = ", ".join(f"transform(sequence(1, greatest(length(w) - {n - 1}, 1)), i -> substring(w, i, {n}))" for n in range(low, high + 1))
+    return f"flatten(transform(transform({words}, w -> concat(' ', w, ' ')), w -> concat({runs})))"
+
+
+def text_pipeline(text: str, label: str, kind: str = "logistic", vocabulary: int = 20_000, weight: str = "weight", letters: tuple[int, int] | None = (3, 5), min_df: float = 2, max_df: float = 0.98, cost: float = 0.003, rounds: int = 20, depth: int = 4) -> Pipeline:
+    """Words and word pairs, and runs of `letters` inside words unless None; TF-IDF of 1 + log n counts, each of the
+    `vocabulary` most frequent terms within `min_df` rows and the share `max_df`; class-weighted logistic regression
+    (`cost` is the regularisation) or boosted trees (`rounds`, `depth`)."""
+    tokens = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2)
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
-    counts = [CountVectorizer(inputCol=c, outputCol=f"{c}_counts", vocabSize=vocabulary, minDF=2) for c in ("_words", "_pairs")]
-    idf = [IDF(inputCol=f"{c}_counts", outputCol=f"{c}_idf") for c in ("_words", "_pairs")]
-    both = VectorAssembler(inputCols=["_words_idf", "_pairs_idf"], outputCol="features")
-    last = LogisticRegression(labelCol=label, weightCol=weight, regParam=0.01, maxIter=50) if kind == "logistic" else GBTClassifier(labelCol=label, weightCol=weight, maxIter=20, maxDepth=4, seed=42)
-    return Pipeline(stages=[words, pairs, *counts, *idf, both, last])
+    both = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
+    stages, sets = [tokens, pairs, both], [("_terms", max_df)]
+    if letters:
+        stages.append(SQLTransformer(statement=f"SELECT *, {word_letters(text, *letters)} AS _letters FROM __THIS__"))
+        sets.append(("_letters", float(2**31)))
+    for c, most in sets:
+        stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_counts", vocabSize=vocabulary, minDF=min_df, maxDF=most), LogCounts(inputCol=f"{c}_counts", outputCol=f"{c}_logs"), IDF(inputCol=f"{c}_logs", outputCol=f"{c}_idf"), Normalizer(inputCol=f"{c}_idf", outputCol=f"{c}_unit")]
+    whole = VectorAssembler(inputCols=[f"{c}_unit" for c, _ in sets], outputCol="features")
+    last = LogisticRegression(labelCol=label, weightCol=weight, regParam=cost, maxIter=50) if kind == "logistic" else GBTClassifier(labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=depth, seed=42)
+    return Pipeline(stages=[*stages, whole, last])
 
 
 def balanced(frame: DataFrame, label: str) -> DataFrame:
@@ -36,19 +77,23 @@ def balanced(frame: DataFrame, label: str) -> DataFrame:
     return frame.join(F.broadcast(weights), label)
 
 
-def train(frame: DataFrame, text: str, label: str, kind: str = "logistic") -> PipelineModel:
-    return text_pipeline(text, label, kind).fit(balanced(frame, label))
+def train(frame: DataFrame, text: str, label: str, kind: str = "logistic", **parameters) -> PipelineModel:
+    """A fitted pipeline. The rows are written once, as every stage of the fit reads them again."""
+    rows = cut_lineage(balanced(frame.select(text, label), label))
+    model = text_pipeline(text, label, kind, **parameters).fit(rows)
+    drop_cut(rows)
+    return model
 
 
 def score(model: PipelineModel, frame: DataFrame, keep: list[str]) -> DataFrame:
     return model.transform(frame).select(*keep, vector_to_array("probability")[1].alias("probability"))
 
 
-def cross_scored(frame: DataFrame, text: str, label: str, fold: str, keep: list[str], kind: str = "logistic") -> DataFrame:
+def cross_scored(frame: DataFrame, text: str, label: str, fold: str, keep: list[str], kind: str = "logistic", **parameters) -> DataFrame:
     """Every row scored by a model that did not see its fold; the folds' names are few."""
     scored = None
     for (k,) in frame.select(fold).distinct().orderBy(fold).collect():
-        part = score(train(frame.where(F.col(fold) != k), text, label, kind), frame.where(F.col(fold) == k), keep)
+        part = score(train(frame.where(F.col(fold) != k), text, label, kind, **parameters), frame.where(F.col(fold) == k), keep)
         scored = part if scored is None else scored.unionByName(part)
     return scored
 
@@ -59,3 +104,37 @@ def classify_corpus(model: PipelineModel, corpus: DataFrame, text: str, threshol
     scored = score(model, corpus.where(held), keep).withColumn("predicted_label", F.when(F.col("probability") >= threshold, "positive").otherwise("negative"))
     rest = corpus.where(~held).select(*keep, F.lit(None).cast("double").alias("probability"), F.lit("unclassified").alias("predicted_label"))
     return scored.unionByName(rest)
+
+
+def best_threshold(scored: DataFrame, label: str, score_column: str = "probability", low: float = 0.1, high: float = 0.9, steps: int = 161) -> dict[str, float]:
+    """Threshold, precision, recall and F1 of the grid's best by the lower of precision and recall, then F1,
+    then nearness to one half. The grid's rows reach the driver."""
+    from corvelo.operators.evaluate import threshold_grid
+
+    grid = threshold_grid(scored.withColumn("_t", F.col(label) == 1), "_t", score_column, low, high, steps)
+    f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    rows = [r.asDict() for r in grid.withColumn("f1", f1).select("threshold", "precision", "recall", "f1").collect()]
+    return max(rows, key=lambda r: (min(r["precision"], r["recall"]), r["f1"], -abs(r["threshold"] - 0.5)))
+
+
+def nested_selection(frame: DataFrame, text: str, label: str, id_: str, grid: dict[str, list], outer: int = 5, inner: int = 4, kind: str = "logistic", strata: list[str] | None = None) -> DataFrame:
+    """Every row scored with parameters and a threshold that were chosen without its fold: rows (id, label,
+    fold, probability, threshold, predicted). In every outer fold each combination of `grid` is cross-scored over
+    `inner` folds of the rest and the best by `best_threshold` is trained on all of the rest. Folds are in
+    hash order within `strata` (the label by default)."""
+    from corvelo.operators.sampling import folds
+    strata = strata or [label]
+    frame = cut_lineage(folds(frame.select(id_, text, *dict.fromkeys([label, *strata])), strata, id_, outer))
+    scored = None
+    for k in range(outer):
+        rest = frame.where(F.col("fold") != k).drop("fold")
+        rest = cut_lineage(folds(rest.withColumn("_inner", F.concat(F.lit("inner|"), F.col(id_).cast("string"))), strata, "_inner", inner))
+        tried = []
+        for values in product(*grid.values()):
+            parameters = dict(zip(grid, values))
+            tried.append((best_threshold(cross_scored(rest, text, label, "fold", [id_, label], kind, **parameters), label), parameters))
+        best, parameters = max(tried, key=lambda t: (min(t[0]["precision"], t[0]["recall"]), t[0]["f1"]))
+        part = score(train(rest, text, label, kind, **parameters), frame.where(F.col("fold") == k), [id_, label, "fold"])
+        part = part.withColumn("threshold", F.lit(best["threshold"])).withColumn("predicted", F.col("probability") >= best["threshold"])
+        scored = part if scored is None else scored.unionByName(part)
+    return scored

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvelo.functions.text import let
+from corvelo.functions.text import let, organisation_keys
+from corvelo.functions.vocabulary import NON_AUTHOR_ORGANIZATIONS
 from corvelo.operators.checks import require_covered
 
 
@@ -75,18 +76,31 @@ def merge_evidence(base: DataFrame, updates: DataFrame, keys: list[str]) -> Data
     return joined.select(*[merged.get(c, F.col(c)).alias(c) for c in base.columns])
 
 
-def affiliation_key(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9À-ÿ]+", " "))
+def merge_affiliations(items: Column) -> Column:
+    """One affiliation per (name key, country) in order of first appearance: the last one given where it has
+    a country, else that of the shortest name, the earlier of equals. One with a country supersedes those
+    of its name without. Publishers and names without letters are left out; null stays null."""
+    country = lambda x: F.coalesce(x["a"]["country_code"], F.lit(""))
+    same = lambda x, y: (x["k"] == y["k"]) & (country(x) == country(y))
+    pairs = F.arrays_zip(organisation_keys(F.transform(items, lambda a: a["institution_name"])).alias("k"), items.alias("a"))
+    own = F.filter(pairs, lambda x: (x["k"] != "") & ~x["k"].rlike("|".join(NON_AUTHOR_ORGANIZATIONS)))
 
+    def settled(all_: Column) -> Column:
+        resolved = F.transform(F.filter(all_, lambda x: country(x) != ""), lambda x: x["k"])
+        return F.filter(all_, lambda x: (country(x) != "") | ~F.array_contains(resolved, x["k"]))
 
-def merge_affiliations(items: Column) -> Column:
-    """One affiliation per (name key, country), the last one given; a resolved one (with institution_id)
-    supersedes unresolved ones of its name. Order of first appearance."""
-    same = lambda a, b: (affiliation_key(a["institution_name"]) == affiliation_key(b["institution_name"])) & (F.coalesce(a["country_code"], F.lit("")) == F.coalesce(b["country_code"], F.lit("")))
-    resolved = lambda a: F.coalesce(a["institution_id"], F.lit("")) != ""
-    superseded = lambda all_, a: ~resolved(a) & F.exists(all_, lambda b: resolved(b) & (affiliation_key(a["institution_name"]) == affiliation_key(b["institution_name"])))
-    kept = let(items, lambda all_: F.filter(all_, lambda a: ~superseded(all_, a)))
-    return let(kept, lambda k: F.aggregate(k, F.slice(k, 1, 0), lambda done, a: F.concat(F.filter(done, lambda b: ~same(a, b)), F.array(a))))
+    def chosen(kept: Column) -> Column:
+        firsts = F.filter(kept, lambda x, i: ~F.exists(F.slice(kept, F.lit(1), i), lambda y: same(x, y)))
+
+        def best(x: Column) -> Column:
+            group = F.filter(kept, lambda y: same(x, y))
+            shortest = F.array_min(F.transform(group, lambda y, i: F.struct(F.length(y["a"]["institution_name"]).alias("n"), i.alias("i"))))["i"]
+            return F.when(country(x) != "", F.element_at(group, -1)).otherwise(F.get(group, shortest))["a"]
+
+        return F.transform(firsts, best)
+
+    whole = let(let(own, settled), chosen)
+    return whole
 
 
 def replace_group(base: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:

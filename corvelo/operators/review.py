@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvelo.functions.text import let, organisation_keys
+from corvelo.functions.vocabulary import MULTINATIONALS
 from corvelo.operators.checks import violations
 from corvelo.operators.indicators import distinct_codes
 from corvelo.schemas import QUEUE
@@ -13,26 +15,35 @@ STATUSES = ("unreviewed", "pass", "fail", "defer")
 PRIORITIES = {"high": 1, "medium": 2, "low": 3}
 
 
-def system_signal(affiliations: Column, diagnostics: Column, match: Column) -> tuple[Column, Column, Column]:
+def system_signal(openalex_id: Column, affiliations: Column, method: Column) -> tuple[Column, Column, Column]:
     """(signal, priority, reason) of a reconciled record: the first case that holds."""
-    codes = distinct_codes(F.transform(affiliations, lambda a: a["country_code"]))
-    failed = F.exists(F.coalesce(diagnostics, F.array()), lambda d: d["outcome"] == "api_error")
-    none = F.size(F.coalesce(affiliations, F.array())) == 0
-    partial = F.exists(F.coalesce(affiliations, F.array()), lambda a: F.coalesce(a["country_code"], F.lit("")) == "")
-    unresolved = F.exists(F.coalesce(affiliations, F.array()), lambda a: F.coalesce(a["institution_id"], F.lit("")) == "")
-    cases = [(failed, "source_error", "high", "a source failed"), (none, "no_affiliation", "high", "no affiliation found"), (F.size(codes) == 0, "no_country", "high", "no country resolved"), (partial, "partial_country", "medium", "some affiliation lacks a country"), (unresolved | match.isNull(), "unresolved", "medium", "some institution is unresolved")]
-    columns = []
-    for place, rest in ((1, "complete"), (2, "low"), (3, "routine check")):
-        ladder = F.when(cases[0][0], cases[0][place])
-        for case in cases[1:]:
-            ladder = ladder.when(case[0], case[place])
-        columns.append(ladder.otherwise(rest))
-    return columns[0], columns[1], columns[2]
+    held = F.coalesce(affiliations, F.array())
+    placed = lambda a: F.coalesce(a["country_code"], F.lit("")) != ""
+    keyed = F.arrays_zip(organisation_keys(F.transform(held, lambda a: a["institution_name"])).alias("k"), held.alias("a"))
+
+    def unplaced(keyed: Column) -> Column:
+        resolved = F.transform(F.filter(keyed, lambda x: placed(x["a"])), lambda x: x["k"])
+        open_ = F.filter(keyed, lambda x: ~placed(x["a"]) & x["k"].isin(MULTINATIONALS) & ~F.array_contains(resolved, x["k"]))
+        return F.array_sort(F.array_distinct(F.transform(open_, lambda x: x["a"]["institution_name"])))
+
+    branches = let(keyed, unplaced)
+    mixed = F.contains(F.coalesce(method, F.lit("")), F.lit("fallback")) | F.contains(F.coalesce(method, F.lit("")), F.lit("pdf-ner"))
+    # Signals, priorities and reasons.
+    cases = [
+        (F.size(held) == 0, "unreconciled", "high", F.lit("No affiliation was resolved")),
+        (~F.exists(held, placed), "country_missing", "high", F.lit("Affiliations exist but no country was resolved")),
+        (F.size(branches) > 0, "ambiguous_multinational_branch", "high", F.concat(F.lit("Branch location is unresolved for: "), F.array_join(branches, ", "))),
+        (F.coalesce(openalex_id, F.lit("")) == "", "fallback_only", "medium", F.lit("Country evidence comes only from PDF/ROR fallback")),
+        (mixed, "mixed_sources", "medium", F.lit("OpenAlex work and fallback affiliations are combined")),
+        (F.lit(True), "automatic_pass", "low", F.lit("Automatic match has country-bearing affiliations")),
+    ]
+    first = lambda place: F.coalesce(*(F.when(c[0], c[place] if place == 3 else F.lit(c[place])) for c in cases))
+    return first(1), first(2), first(3)
 
 
 def review_queue(reconciled: DataFrame) -> DataFrame:
     """Queue rows of reconciled records, most urgent first, in the fixed column order."""
-    signal, priority, reason = system_signal(F.col("affiliations"), F.col("diagnostics"), F.col("match_method"))
+    signal, priority, reason = system_signal(F.col("openalex_id"), F.col("affiliations"), F.col("match_method"))
     p = lambda c: F.coalesce(F.col(f"paper.{c}"), F.lit(""))
     blank = F.lit("")
     rows = reconciled.select(

@@ -64,36 +64,77 @@ def group_folds(frame: DataFrame, group: str) -> DataFrame:
 
 
 def blinded_swap(id_: Column) -> Column:
-    """Whether to show candidates in reverse: parity of the last hex digit of the id's hash."""
-    return F.conv(F.substring(F.sha2(id_, 256), 64, 1), 16, 10).cast("int") % 2 == 1
+    """Whether to show candidates in reverse: the id's hash is an even number."""
+    return F.conv(F.substring(F.sha2(id_, 256), 64, 1), 16, 10).cast("int") % 2 == 0
+
+
+#: Strata in the order of picking.
+STRATA = ("clear", "borderline", "disagreement")
+
+
+def human_candidates(decisions: DataFrame, penalties: DataFrame, scores: DataFrame | None = None, near: float = 2) -> DataFrame:
+    """Decisions (direction, segment_id, model_pair, preferred_model, stable) with left_model, right_model,
+    penalty_gap and stratum: disagreement where unstable or where penalties (direction, segment_id, model, penalty) or
+    scores (direction, segment_id, model, score) prefer another model, borderline where penalties are
+    within `near`, else clear. Ties agree with everything; missing values count as 0 in the gap."""
+    pair = F.transform(F.split("model_pair", r"\|\|"), lambda m: F.trim(m))
+    rows = decisions.withColumns({"left_model": pair[0], "right_model": pair[1]})
+
+    def both(rows: DataFrame, values: DataFrame, value: str) -> DataFrame:
+        for side in ("left", "right"):
+            named = values.select("direction", "segment_id", F.col("model").alias(f"{side}_model"), F.col(value).alias(f"_{side}_{value}"))
+            rows = rows.join(named, ["direction", "segment_id", f"{side}_model"], "left")
+        return rows
+
+    rows = both(rows, penalties, "penalty")
+    left, right = F.col("_left_penalty"), F.col("_right_penalty")
+    other = lambda best: F.coalesce(~F.col("preferred_model").isin("tie") & (F.col("preferred_model") != best), F.lit(False))
+    apart = ~F.col("stable") | other(F.when(left == right, "tie").when(left < right, F.col("left_model")).when(left > right, F.col("right_model")))
+    if scores is not None:
+        rows = both(rows, scores, "score")
+        a, b = F.col("_left_score"), F.col("_right_score")
+        apart = apart | other(F.when(F.abs(a - b) <= 1e-9, "tie").when(a > b, F.col("left_model")).when(a < b, F.col("right_model")))
+    stratum = F.when(apart, "disagreement").when(F.abs(left - right) <= near, "borderline").otherwise("clear")
+    gap = F.abs(F.coalesce(left, F.lit(0)) - F.coalesce(right, F.lit(0)))
+    return rows.select(*decisions.columns, "left_model", "right_model", stratum.alias("stratum"), gap.alias("penalty_gap"))
 
 
 def human_sample(candidates: DataFrame, cap: int = 18, each: int = 3, fallback: int = 9) -> DataFrame:
-    """Blinded sample of (stratum, segment_id, ...): strata in order of name, at most `each` rows of a
-    stratum, no segment twice, then further rows up to `fallback`, `cap` in all. Adds `sample_id` and
-    `swap`. Each pick depends on the ones before, so the candidates of one evaluation, first thinned in
-    hash order to what could be picked, are decided in one task."""
-    h = stable_key("segment_id", "stratum")
-    thin = hash_top(candidates, ["stratum"], cap + each, h).withColumn("_h", h)
-    schema = candidates.select("*", F.lit("").alias("sample_id"), F.lit(True).alias("swap")).schema
+    """Blinded sample of rows as `human_candidates` gives them. Directions and model pairs in order of name;
+    in each up to `each` rows of every stratum, the widest penalty gap first among the clear and the
+    narrowest elsewhere, then, if under `fallback`, further rows with the narrowest gap; no segment twice;
+    the first `cap` in all. Adds `sample_id` and `swap`.
+
+    Each pick depends on the ones before. Only rows that can be picked, a fixed number for a direction and
+    pair, are decided in one task."""
+    group, reach = ["direction", "model_pair"], cap + max(each, fallback)
+    signed = F.when(F.col("stratum") == "clear", -F.col("penalty_gap")).otherwise(F.col("penalty_gap"))
+    first = F.row_number().over(Window.partitionBy(*group, "stratum").orderBy(signed, "segment_id"))
+    rest = F.row_number().over(Window.partitionBy(*group).orderBy("penalty_gap", "segment_id"))
+    thin = candidates.withColumn("_first", first).withColumn("_rest", rest).where((F.col("_first") <= reach) | (F.col("_rest") <= reach))
+    schema = candidates.select("*", F.lit("").alias("sample_id"), blinded_swap(F.col("segment_id")).alias("swap")).schema
 
     def pick(pdf):
-        pdf = pdf.sort_values(["stratum", "_h"]).reset_index(drop=True)
-        taken, used, per = [], set(), {}
-        for k, (s, g) in enumerate(zip(pdf["stratum"], pdf["segment_id"])):
-            if len(taken) < cap and per.get(s, 0) < each and g not in used:
-                taken.append(k)
-                used.add(g)
-                per[s] = per.get(s, 0) + 1
-        for k, g in enumerate(pdf["segment_id"]):
-            if len(taken) < min(cap, fallback) and g not in used:
-                taken.append(k)
-                used.add(g)
-        import hashlib
-
-        out = pdf.loc[taken].drop(columns=["_h"]).reset_index(drop=True)
+        taken, used = [], set()
+
+        def take(rows, most: int) -> int:
+            fresh = [(k, g) for k, g in zip(rows.index, rows["segment_id"]) if g not in used]
+            chosen, seen = [], set()
+            for k, g in fresh[:most]:
+                chosen.append(k)
+                seen.add(g)
+            taken.extend(chosen)
+            used.update(seen)
+            return len(chosen)
+
+        for _, pool in pdf.sort_values(group).groupby(group, sort=True):
+            n = sum(take(pool[pool["stratum"] == s].sort_values("_first"), each) for s in STRATA)
+            if n < fallback:
+                take(pool.sort_values("_rest"), fallback - n)
+            if len(taken) >= cap:
+                break
+        out = pdf.loc[taken[:cap]].drop(columns=["_first", "_rest"]).reset_index(drop=True)
         out["sample_id"] = [f"human-{k + 1:02d}" for k in range(len(out))]
-        out["swap"] = [int(hashlib.sha256(str(g).encode()).hexdigest()[-1], 16) % 2 == 1 for g in out["segment_id"]]
         return out
 
-    return thin.groupBy().applyInPandas(lambda pdf: pick(pdf), schema)
+    return thin.withColumn("swap", blinded_swap(F.col("segment_id"))).groupBy().applyInPandas(lambda pdf: pick(pdf)[[f.name for f in schema]], schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pandas as pd
@@ -61,16 +62,65 @@ def word_edits(reference: list[str], prediction: list[str]) -> int:
     return row[-1]
 
 
+def bleu_counts(reference: list[str], prediction: list[str], most: int = 4) -> list[float]:
+    """Clipped matches and predicted n-grams for n of 1 to `most`, then both lengths."""
+    found = []
+    for n in range(1, most + 1):
+        runs = lambda words: Counter(zip(*(words[k:] for k in range(n))))  # noqa: E731, B023
+        found += [float(sum((runs(prediction) & runs(reference)).values())), float(max(0, len(prediction) - n + 1))]
+    return [*found, float(len(prediction)), float(len(reference))]
+
+
+def shift_edits(reference: list[str], prediction: list[str], longest: int = 10, furthest: int = 50) -> int:
+    """Word edits with block shifts: while some run of the prediction that the reference holds elsewhere can be moved
+    so that fewer edits remain, the best such move is made and counts as one edit."""
+    words, moves = list(prediction), 0
+    left = word_edits(reference, words)
+    while left:
+        best = None
+        starts = {}
+        for j in range(len(reference)):
+            starts.setdefault(reference[j], []).append(j)
+        for i in range(len(words)):
+            for j in starts.get(words[i], ()):
+                if i == j or abs(i - j) > furthest:
+                    continue
+                n = 0
+                while n < longest and i + n < len(words) and j + n < len(reference) and words[i + n] == reference[j + n]:
+                    n += 1
+                    rest = words[:i] + words[i + n :]
+                    at = min(j, len(rest))
+                    moved = rest[:at] + words[i : i + n] + rest[at:]
+                    if moved != words:
+                        gain = left - word_edits(reference, moved)
+                        if gain > 1 and (best is None or (gain, n) > best[:2]):
+                            best = (gain, n, moved)
+        if best is None:
+            break
+        moves, words = moves + 1, best[2]
+        left = word_edits(reference, words)
+    return left + moves
+
+
+_MARKS = re.compile(r"(?<=[^\w\s])|(?=[^\w\s])")
+
+
+def score_tokens(text: str) -> list[str]:
+    """Words and single punctuation marks, case kept."""
+    return _MARKS.sub(" ", text).split()
+
+
 def overlap_scores(predictions: DataFrame, by: list[str], letters: int = 6, words: int = 2, beta: float = 2.0) -> DataFrame:
-    """Corpus chrF++ and word error rate (edits over reference words, without shifts) per group of rows with
-    reference and prediction. Counts are taken per row and summed, as corpus scores are."""
+    """Corpus BLEU (up to four words, brevity penalty, no smoothing but for orders without a match, which halve),
+    chrF++, TER (edits with shifts over reference words) and word error rate (edits without shifts) per
+    group of rows with reference and prediction. Counts are taken per row and summed, as corpus scores are."""
     orders = letters + words
 
     @F.pandas_udf("array<double>")
     def count(reference: pd.Series, prediction: pd.Series) -> pd.Series:
-        return pd.Series([chrf(r or "", p or "", letters, words) + [float(word_edits((r or "").split(), (p or "").split())), float(len((r or "").split()))] for r, p in zip(reference, prediction)])
+        return pd.Series([chrf(r or "", p or "", letters, words) + [float(word_edits((r or "").split(), (p or "").split())), float(len((r or "").split())), float(shift_edits((r or "").lower().split(), (p or "").lower().split()))] + bleu_counts(score_tokens(r or ""), score_tokens(p or "")) for r, p in zip(reference, prediction)])
 
-    sums = predictions.select(*by, count("reference", "prediction").alias("c")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("c")[k]).alias(f"s{k}") for k in range(3 * orders + 2)))
+    sums = predictions.select(*by, count("reference", "prediction").alias("c")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("c")[k]).alias(f"s{k}") for k in range(3 * orders + 13)))
     share = lambda a, b: F.when(b > 0, a / b)
     parts = []
     for k in range(orders):
@@ -79,4 +129,13 @@ def overlap_scores(predictions: DataFrame, by: list[str], letters: int = 6, word
         parts.append(F.when((p + r) > 0, (1 + beta**2) * p * r / (beta**2 * p + r)).when(out.isNotNull() & (ref > 0) & (out > 0), 0.0))
     known = F.array_compact(F.array(*parts))
     mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.size(known)).otherwise(0.0)
-    return sums.select(*by, "n", (100 * mean).alias("chrf"), (100 * share(F.col(f"s{3 * orders}"), F.col(f"s{3 * orders + 1}"))).alias("word_error_rate"))
+    at = 3 * orders + 3
+    hits, runs = [F.col(f"s{at + 2 * k}") for k in range(4)], [F.col(f"s{at + 2 * k + 1}") for k in range(4)]
+    out, ref = F.col(f"s{at + 8}"), F.col(f"s{at + 9}")
+    logs, halved = F.lit(0.0), F.lit(1.0)
+    for h, r in zip(hits, runs):
+        halved = F.when((h == 0) & (r > 0), halved * 2).otherwise(halved)
+        logs = logs + F.when(h > 0, F.log(h / r)).when(r > 0, F.log(1 / (halved * r)))
+    brevity = F.when(out >= ref, 1.0).when(out > 0, F.exp(1 - ref / out)).otherwise(0.0)
+    bleu = F.when(hits[0] == 0, 0.0).otherwise(F.coalesce(brevity * F.exp(logs / 4), F.lit(0.0)))
+    return sums.select(*by, "n", (100 * mean).alias("chrf"), (100 * share(F.col(f"s{3 * orders}"), F.col(f"s{3 * orders + 1}"))).alias("word_error_rate"), (100 * share(F.col(f"s{3 * orders + 2}"), F.col(f"s{3 * orders + 1}"))).alias("ter"), (100 * bleu).alias("bleu"))

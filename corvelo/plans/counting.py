@@ -31,12 +31,12 @@ cover AS (SELECT scope, count(*) AS universe, count(*) FILTER (len(countries) >
          CAST(rank() OVER (PARTITION BY c.scope ORDER BY full_count DESC) AS INTEGER) AS full_rank,
          CAST(rank() OVER (PARTITION BY c.scope ORDER BY fractional_count DESC) AS INTEGER) AS fractional_rank
   FROM cells c JOIN cover v ON v.scope = c.scope WHERE c.scope <> 'all')
-SELECT venue, country_code, universe, with_country, missing_country, round(cov, 6) AS coverage, full_count, round(fractional_count, 6) AS fractional_count,
-  CASE WHEN with_country = 0 THEN 0.0 ELSE round(full_count / with_country, 6) END AS observed_full_share,
-  CASE WHEN with_country = 0 THEN 0.0 ELSE round(fractional_count / with_country, 6) END AS observed_fractional_share,
+SELECT venue, country_code, universe, with_country, missing_country, round(cov, 8) AS coverage, full_count, round(fractional_count, 6) AS fractional_count,
+  CASE WHEN with_country = 0 THEN 0.0 ELSE round(full_count / with_country, 8) END AS observed_full_share,
+  CASE WHEN with_country = 0 THEN 0.0 ELSE round(fractional_count / with_country, 8) END AS observed_fractional_share,
   CASE WHEN cov = 0 THEN 0.0 ELSE round(full_count / cov, 6) END AS mar_full_count,
-  CASE WHEN universe = 0 THEN 0.0 ELSE round(full_count / universe, 6) END AS lower_bound,
-  CASE WHEN universe = 0 THEN 0.0 ELSE round((full_count + missing_country) / universe, 6) END AS upper_bound,
+  CASE WHEN universe = 0 THEN 0.0 ELSE round(full_count / universe, 8) END AS lower_bound,
+  CASE WHEN universe = 0 THEN 0.0 ELSE round((full_count + missing_country) / universe, 8) END AS upper_bound,
   full_rank, fractional_rank, full_rank - fractional_rank AS rank_change, cov < 0.9 AS low_coverage FROM x""")
 def country_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
     return I.country_sensitivity(records(spark, folder), panel(spark))

@@ -44,11 +44,6 @@ def per_slice_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _slices(spark, folder)
 
 
-@query(f"""WITH {SLICES_SQL} SELECT bool_and(CASE WHEN slice = 'overall' THEN precision >= 0.9 AND recall >= 0.9 WHEN slice LIKE 'venue:%' THEN (tp + fp < 10 OR precision >= 0.8) AND (tp + fn < 10 OR recall >= 0.8) ELSE true END) AS passes FROM m""")
-def release_gate(spark: SparkSession, folder: str) -> DataFrame:
-    return E.release_gate(_slices(spark, folder))
-
-
 @query(f"""WITH {JUDGED_SQL} SELECT 'all' AS scope, truth, predicted, count(*) AS n FROM j GROUP BY ALL UNION ALL SELECT doc_kind, truth, predicted, count(*) FROM j GROUP BY ALL""")
 def label_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return E.label_pairs(_judged(spark, folder), "truth", "predicted", "doc_kind")
@@ -73,6 +68,14 @@ def dimension_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return E.dimension_metrics(d, DIMENSIONS, "t", "p")
 
 
+@query(f"""WITH l AS (SELECT doc_id, list(DISTINCT subject) AS t FROM subject_label GROUP BY 1), d AS (SELECT t, coalesce(text, '') AS x FROM documents JOIN l USING (doc_id)),
+dj AS ({' UNION ALL '.join(f"SELECT '{n}' AS dimension, list_contains(t, '{n}') AS truth, regexp_matches(x, '{WORDS[n]}') AS predicted FROM d" for n in DIMENSIONS)}), dc AS (SELECT dimension, {COUNTS_SQL} FROM dj GROUP BY 1), dm AS (SELECT *, {RATES_SQL} FROM dc), {SLICES_SQL},
+g AS (SELECT bool_and(CASE WHEN slice = 'overall' THEN precision >= 0.9 AND recall >= 0.9 WHEN slice LIKE 'venue:%' THEN (tp + fp < 10 OR precision >= 0.8) AND (tp + fn < 10 OR recall >= 0.8) ELSE true END) AS passes FROM m)
+SELECT passes, (SELECT coalesce(string_agg(dimension, '|' ORDER BY dimension), '') FROM dm WHERE precision >= 0.9 AND recall >= 0.9) AS validated_dimensions, (SELECT bool_and(precision >= 0.9 AND recall >= 0.9) FROM dm) AS dimensions_pass FROM g""")
+def release_gate(spark: SparkSession, folder: str) -> DataFrame:
+    return E.release_gate(_slices(spark, folder), dimension_metrics(spark, folder))
+
+
 GRID_SQL = """s AS (SELECT doc_kind = 'abstract' AS truth, least(1.0, n_chars / 3000.0) AS score FROM documents WHERE n_chars IS NOT NULL),
 g AS (SELECT unnest(range(0, 161)) AS step), a AS (SELECT truth, greatest(0, least(161, CAST(floor((score - 0.1) / 0.005 + 1e-9) AS INTEGER) + 1)) AS reach, count(*) AS n FROM s GROUP BY 1, 2),
 c AS (SELECT step, CAST(coalesce(sum(n) FILTER (truth AND reach > step), 0) AS BIGINT) AS tp, CAST(coalesce(sum(n) FILTER (NOT truth AND reach > step), 0) AS BIGINT) AS fp,
@@ -113,9 +116,11 @@ def mqm_summary(spark: SparkSession, folder: str) -> DataFrame:
     return E.penalty_summary(_segments(spark, folder), ["model"], "mqm_penalty")
 
 
-@query(f"WITH {ERRORS_SQL} SELECT model, o_orderkey AS segment, CAST(penalty AS INTEGER) AS mqm_penalty, CAST(critical AS INTEGER) AS critical_errors FROM s")
+@query(f"""WITH {ERRORS_SQL}, n AS (SELECT l_orderkey, l_linenumber % 8 AS c, CASE l_returnflag WHEN 'A' THEN 'minor' WHEN 'N' THEN 'major' ELSE 'critical' END AS s FROM lineitem)
+SELECT model, o_orderkey AS segment, CAST(max(penalty) AS INTEGER) AS mqm_penalty, {', '.join(f"CAST(count(*) FILTER (n.s = '{s}') AS INTEGER) AS {s}_errors" for s in E.SEVERITY)}, {', '.join(f"CAST(count(*) FILTER (n.c = {k}) AS INTEGER) AS {c}_errors" for k, c in enumerate(E.CATEGORIES))}
+FROM s LEFT JOIN n ON l_orderkey = o_orderkey GROUP BY 1, 2""")
 def mqm_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return _segments(spark, folder).select("model", F.col("l_orderkey").alias("segment"), "mqm_penalty", "critical_errors")
+    return _segments(spark, folder).select("model", F.col("l_orderkey").alias("segment"), "mqm_penalty", *(f"{x}_errors" for x in [*E.SEVERITY, *E.CATEGORIES]))
 
 
 @query()
@@ -187,3 +192,13 @@ def tfidf_logreg(spark: SparkSession, folder: str) -> DataFrame:
     known = sampling.folds(d.join(labels, "doc_id"), ["label"], "doc_id", 3)
     scored = ml.cross_scored(known, "body", "label", "fold", ["doc_id", "label"])
     return E.binary_metrics(scored.select((F.col("label") == 1).alias("truth"), (F.col("probability") >= 0.5).alias("predicted")), "truth", "predicted")
+
+
+@query()
+def nested_selection(spark: SparkSession, folder: str) -> DataFrame:
+    from corvelo.operators import ml
+
+    labels = table(spark, folder, "subject_label").groupBy("doc_id").agg(F.max((F.col("subject") == "law").cast("double")).alias("label"))
+    d = table(spark, folder, "documents").select("doc_id", ml.feature_text(F.col("title"), F.col("text"), F.array().cast("array<string>")).alias("body"))
+    scored = ml.nested_selection(d.join(labels, "doc_id"), "body", "label", "doc_id", {"cost": [0.003, 0.03]}, outer=2, inner=2)
+    return E.binary_metrics(scored.select((F.col("label") == 1).alias("truth"), "predicted"), "truth", "predicted")

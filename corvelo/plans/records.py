@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvelo.functions.vocabulary import LEADING_NOTE, MULTINATIONALS
+from corvelo.functions.web import host, source_authority
 from corvelo.operators import records as R
 from corvelo.operators import sampling as S
 from corvelo.operators.checks import duplicates
 from corvelo.operators.review import status_snapshot, system_signal
 from corvelo.plans.base import blank
 from corvelo.plans.registry import registry
+from corvelo.plans.texts import ADDRESS_SQL, addresses
 from corvelo.session import table
 
 REGISTERED, query = registry()
@@ -32,20 +37,44 @@ def overlay(spark: SparkSession, folder: str) -> DataFrame:
     return R.overlay(base, p.where("batch_no >= 8"), ["venue_key", "paper_key"], "seq")
 
 
-@query("""WITH r AS (SELECT coalesce(paper.venue_key, '') AS venue_key, coalesce(nullif(trim(paper.paper_id), ''), paper.title, '') AS paper_key, openalex_id, match_method, seq FROM reconciled),
+# characters that stand for one of ASCII, for which DuckDB has no decomposition
+_LIKE_ASCII = {chr(c): d for c in range(128, 0x20000) if len(d := unicodedata.normalize("NFKD", chr(c))) == 1 and d.isascii() and d.isalnum()}
+
+
+def canonical_sql(name: str) -> str:
+    """SQL of an organisation's comparison key."""
+    bare = f"regexp_replace(coalesce({name}, ''), '{LEADING_NOTE}', '')"
+    return f"trim(regexp_replace(lower(strip_accents(translate({bare}, '{''.join(_LIKE_ASCII)}', '{''.join(_LIKE_ASCII.values())}'))), '[^a-z0-9]+', ' ', 'g'))"
+
+
+MERGE_SQL = f"""r AS (SELECT coalesce(paper.venue_key, '') AS venue_key, coalesce(nullif(trim(paper.paper_id), ''), paper.title, '') AS paper_key, openalex_id, match_method, coalesce(affiliations, []) AS aff, coalesce(diagnostics, []) AS diag, affiliations, diagnostics, seq FROM reconciled),
 f AS (SELECT venue_key, paper_key, min(seq) AS first_seq, max(seq) AS last_seq FROM r GROUP BY 1, 2),
-b AS (SELECT f.*, r.openalex_id, r.match_method FROM f JOIN r ON r.seq = f.first_seq),
-u AS (SELECT f.venue_key, f.paper_key, r.openalex_id AS uo, r.match_method AS um FROM f JOIN r ON r.seq = f.last_seq WHERE last_seq <> first_seq),
-j AS (SELECT b.venue_key, b.paper_key, openalex_id, match_method, uo, um, u.paper_key IS NOT NULL AS has FROM b LEFT JOIN u ON u.venue_key = b.venue_key AND u.paper_key = b.paper_key),
-m AS (SELECT *, list_filter(string_split(coalesce(match_method, ''), '+') || string_split(coalesce(um, ''), '+'), lambda x: x <> '') AS l FROM j)
-SELECT venue_key, paper_key, coalesce(nullif(uo, ''), openalex_id) AS openalex_id,
-  CASE WHEN has THEN nullif(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '+'), '') ELSE match_method END AS match_method FROM m""")
+b AS (SELECT f.*, r.openalex_id, r.match_method, r.aff, r.diag FROM f JOIN r ON r.seq = f.first_seq),
+u AS (SELECT f.venue_key, f.paper_key, r.openalex_id AS uo, r.match_method AS um, r.aff AS ua, r.diag AS ud FROM f JOIN r ON r.seq = f.last_seq WHERE last_seq <> first_seq),
+j AS (SELECT b.*, uo, um, ua, ud, u.paper_key IS NOT NULL AS has FROM b LEFT JOIN u ON u.venue_key = b.venue_key AND u.paper_key = b.paper_key),
+m AS (SELECT *, list_filter(string_split(coalesce(match_method, ''), '+') || string_split(coalesce(um, ''), '+'), lambda x: x <> '') AS l FROM j),
+e AS (SELECT venue_key, paper_key, unnest(aff || ua) AS x, unnest(range(len(aff) + len(ua))) AS spot FROM j WHERE has),
+k AS (SELECT *, {canonical_sql('x.institution_name')} AS name, coalesce(x.country_code, '') AS country FROM e),
+o AS (SELECT * FROM k WHERE name <> '' AND name NOT LIKE '%association for computational linguistics%'),
+s AS (SELECT * FROM o WHERE country <> '' OR (venue_key, paper_key, name) NOT IN (SELECT (venue_key, paper_key, name) FROM o WHERE country <> '')),
+c AS (SELECT venue_key, paper_key, name, country, min(spot) AS first_at, CASE WHEN country <> '' THEN arg_max(x, spot) ELSE arg_min(x, length(x.institution_name) * 1000 + spot) END AS x FROM s GROUP BY 1, 2, 3, 4),
+g AS (SELECT venue_key, paper_key, string_agg(coalesce(x.institution_id, '') || '/' || x.institution_name || '/' || country, '; ' ORDER BY first_at) AS merged FROM c GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {MERGE_SQL}
+SELECT m.venue_key, m.paper_key, coalesce(nullif(uo, ''), openalex_id) AS openalex_id,
+  CASE WHEN has THEN nullif(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '+'), '') ELSE match_method END AS match_method,
+  CASE WHEN has THEN coalesce(merged, '') ELSE array_to_string(list_transform(aff, lambda x: coalesce(x.institution_id, '') || '/' || coalesce(x.institution_name, '') || '/' || coalesce(x.country_code, '')), '; ') END AS affiliations,
+  array_to_string(list_transform(CASE WHEN has THEN list_filter(diag || ud, lambda x, i: list_position(diag || ud, x) = i) ELSE diag END, lambda x: coalesce(x.stage, '') || '/' || coalesce(x.outcome, '') || '/' || coalesce(x.detail, '')), '; ') AS diagnostics
+FROM m LEFT JOIN g ON g.venue_key = m.venue_key AND g.paper_key = m.paper_key""")
 def merge_evidence(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "reconciled").select(F.coalesce("paper.venue_key", F.lit("")).alias("venue_key"), F.coalesce(blank("paper.paper_id"), "paper.title", F.lit("")).alias("paper_key"), "openalex_id", "match_method", "affiliations", "diagnostics", "seq")
     keys = ["venue_key", "paper_key"]
     first, last = R.first_per_key(r, keys, [F.col("seq")]), R.last_per_key(r, keys, "seq")
     updates = last.join(first.select(*keys, F.col("seq").alias("_s")), keys).where("seq <> _s").drop("_s")
-    return R.merge_evidence(first, updates, keys).select("venue_key", "paper_key", "openalex_id", "match_method")
+    none = lambda c: F.coalesce(c, F.lit(""))
+    shown = lambda c, *fields: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws("/", *(none(x[f]) for f in fields))), "; "), F.lit("")).alias(c)
+    return R.merge_evidence(first, updates, keys).select(*keys, "openalex_id", "match_method", shown("affiliations", "institution_id", "institution_name", "country_code"), shown("diagnostics", "stage", "outcome", "detail"))
 
 
 @query("""SELECT doc_id, doc_id IN (SELECT doc_id FROM subject_label) AS labelled, n_chars FROM documents""")
@@ -147,8 +176,11 @@ def seeded_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def human_sample(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "translation_eval_pairwise_decisions").where("stable").select(F.concat_ws(" / ", "direction", F.when(F.col("preferred_model") == "tie", "tie").otherwise("decided")).alias("stratum"), "segment_id").distinct()
-    return S.human_sample(d)
+    d = table(spark, folder, "translation_eval_pairwise_decisions").where("stable IS NOT NULL AND preferred_model IS NOT NULL").groupBy("direction", "segment_id", "model_pair").agg(F.max_by(F.struct("preferred_model", "stable"), "seq").alias("d")).select("direction", "segment_id", "model_pair", "d.*")
+    # penalties stand in for judgments of single candidates, which the tables do not hold
+    each = d.select("direction", "segment_id", F.explode(F.transform(F.split("model_pair", r"\|\|"), lambda m: F.trim(m))).alias("model")).distinct()
+    penalties = each.withColumn("penalty", F.pmod(F.crc32(F.concat_ws("|", "segment_id", "model")), F.lit(11)).cast("int"))
+    return S.human_sample(S.human_candidates(d, penalties))
 
 
 @query("""WITH s AS (SELECT unnest(['O', 'F', 'P', 'X']) AS o_orderstatus) SELECT s.o_orderstatus, count(o_orderkey) AS n FROM s LEFT JOIN orders USING (o_orderstatus) GROUP BY 1""")
@@ -156,22 +188,22 @@ def order_status_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return status_snapshot(table(spark, folder, "orders"), "o_orderstatus", ("O", "F", "P", "X"))
 
 
-@query("""WITH r AS (SELECT coalesce(affiliations, []) AS a, coalesce(diagnostics, []) AS d, match_method FROM reconciled),
-s AS (SELECT CASE WHEN len(list_filter(d, lambda x: x.outcome = 'api_error')) > 0 THEN 'source_error' WHEN len(a) = 0 THEN 'no_affiliation'
-  WHEN len(list_filter(a, lambda x: coalesce(x.country_code, '') <> '')) = 0 THEN 'no_country' WHEN len(list_filter(a, lambda x: coalesce(x.country_code, '') = '')) > 0 THEN 'partial_country'
-  WHEN len(list_filter(a, lambda x: coalesce(x.institution_id, '') = '')) > 0 OR match_method IS NULL THEN 'unresolved' ELSE 'complete' END AS system_signal FROM r)
-SELECT system_signal, CASE WHEN system_signal IN ('source_error', 'no_affiliation', 'no_country') THEN 'high' WHEN system_signal = 'complete' THEN 'low' ELSE 'medium' END AS priority, count(*) AS n FROM s GROUP BY 1, 2""")
+@query(f"""WITH r AS (SELECT coalesce(affiliations, []) AS a, coalesce(openalex_id, '') AS w, coalesce(match_method, '') AS m FROM reconciled),
+k AS (SELECT *, list_transform(list_filter(a, lambda x: coalesce(x.country_code, '') <> ''), lambda x: {canonical_sql('x.institution_name')}) AS resolved, list_filter(a, lambda x: coalesce(x.country_code, '') = '') AS bare FROM r),
+s AS (SELECT CASE WHEN len(a) = 0 THEN 'unreconciled' WHEN len(bare) = len(a) THEN 'country_missing'
+  WHEN len(list_filter(bare, lambda x: list_contains([{', '.join(f"'{n}'" for n in MULTINATIONALS)}], {canonical_sql('x.institution_name')}) AND NOT list_contains(resolved, {canonical_sql('x.institution_name')}))) > 0 THEN 'ambiguous_multinational_branch'
+  WHEN w = '' THEN 'fallback_only' WHEN contains(m, 'fallback') OR contains(m, 'pdf-ner') THEN 'mixed_sources' ELSE 'automatic_pass' END AS system_signal FROM k)
+SELECT system_signal, CASE WHEN system_signal IN ('unreconciled', 'country_missing', 'ambiguous_multinational_branch') THEN 'high' WHEN system_signal = 'automatic_pass' THEN 'low' ELSE 'medium' END AS priority, count(*) AS n FROM s GROUP BY 1, 2""")
 def review_signals(spark: SparkSession, folder: str) -> DataFrame:
-    signal, priority, _ = system_signal(F.col("affiliations"), F.col("diagnostics"), F.col("match_method"))
-    return table(spark, folder, "reconciled").groupBy(signal.alias("system_signal"), priority.alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+    signal, priority, _ = system_signal(F.col("openalex_id"), F.col("affiliations"), F.col("match_method"))
+    return table(spark, folder, "reconciled").select(signal.alias("system_signal"), priority.alias("priority")).groupBy("system_signal", "priority").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH u AS (SELECT official_url AS url, seq FROM paper WHERE official_url <> '') SELECT url, min(seq) AS seq FROM u GROUP BY 1""")
+@query(f"WITH {ADDRESS_SQL} SELECT seq % 50 AS page, host, source_rank FROM k QUALIFY row_number() OVER (PARTITION BY seq % 50 ORDER BY source_rank, seq, host) = 1")
 def url_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    from corvelo.functions.web import source_authority
-
-    u = table(spark, folder, "paper").where(F.col("official_url") != "").select(F.col("official_url").alias("url"), source_authority(F.col("official_url")).alias("source_rank"), "seq")
-    return R.url_first(u, "url", "source_rank", "seq").select("url", "seq")
+    """Pages told apart by a number stand for URLs: several addresses of every rank share each."""
+    u = addresses(spark, folder).select((F.col("seq") % 50).alias("page"), host(F.col("url")).alias("host"), source_authority(F.col("url")).alias("source_rank"), F.struct("seq", host(F.col("url"))).alias("place"))
+    return R.url_first(u, "page", "source_rank", "place").select("page", "host", "source_rank")
 
 
 @query(f"""WITH k AS (SELECT coalesce(paper.venue_key, '') AS venue_key, coalesce(nullif(trim(paper.paper_id), ''), paper.title, '') AS paper_key, seq,

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from corvelo.functions import text as T
 from corvelo.functions.ranking import numbered
-from corvelo.functions.vocabulary import AMBIGUOUS_TITLE, CONTEXT, CONTEXT_EXCLUDED, COUNTRY_ALIASES, TITLE_SCREEN, any_of
+from corvelo.functions.vocabulary import AMBIGUOUS_TITLE, CAMPUSES, CONTEXT, CONTEXT_EXCLUDED, CONTEXT_TITLE, COUNTRY_ALIASES, NO_EVIDENCE, TITLE_SCREEN, any_of
 from corvelo.functions.web import host, source_authority
-from corvelo.operators.screening import repetition_screen_frame
+from corvelo.operators.screening import repetition_screen_frame, screen_gate
 from corvelo.plans.registry import registry
 from corvelo.session import table
 
@@ -34,17 +34,20 @@ def title_screen(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _context_case(name: str) -> str:
-    include, exclude = any_of(CONTEXT[name]), any_of(CONTEXT_EXCLUDED[name])
-    context = "CASE WHEN i = 1 THEN u ELSE units[1] || '. ' || u END"
-    clause = f" AND NOT regexp_matches({context}, {_quoted(exclude)})" if exclude else ""
-    return f"CASE WHEN len(list_filter(units, lambda u, i: regexp_matches(u, {_quoted(include)}){clause})) > 0 THEN '{name}' END"
+    include, title, exclude = any_of(CONTEXT[name]), any_of(CONTEXT_TITLE[name]), any_of(CONTEXT_EXCLUDED[name])
+    match = f"regexp_matches(u, {_quoted(include)})" + (f" OR (i = 1 AND regexp_matches(u, {_quoted(title)}))" if title else "")
+    clause = f" AND NOT regexp_matches(units[1] || '. ' || u, {_quoted(exclude)})" if exclude else ""
+    return f"CASE WHEN len(list_filter(units, lambda u, i: ({match}){clause})) > 0 THEN '{name}' END"
 
 
-@query(f"""WITH u AS (SELECT doc_id, [coalesce(title, '')] || list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1¶', 'g'), '¶'), lambda s: trim(s) <> '') AS units FROM documents)
+@query(rf"""WITH t AS (SELECT doc_id, trim(lower(coalesce(title, ''))) AS title, trim(regexp_replace(coalesce(text, ''), '[\s\p{{Z}}]+', ' ', 'g')) AS x FROM documents),
+h AS (SELECT *, length(regexp_extract(substr(x, 1, 1200), '(?is)^(.*?\babstract\b)', 1)) AS n FROM t),
+a AS (SELECT doc_id, title, lower(CASE WHEN n > 0 THEN regexp_replace(substr(x, n + 1), '(?is)\b(?:1\.?\s+introduction|introduction\s+1)\b.*$', '') ELSE x END) AS x FROM h),
+u AS (SELECT doc_id, list_transform([title] || list_filter(list_transform(string_split(regexp_replace(x, '([.!?])\s+', '\1¶', 'g'), '¶'), lambda s: trim(s)), lambda s: s <> ''), lambda s: regexp_replace(s, {_quoted(NO_EVIDENCE)}, '', 'g')) AS units FROM a)
 SELECT doc_id, array_to_string(list_filter([{', '.join(_context_case(n) for n in CONTEXT)}], lambda x: x IS NOT NULL), '|') AS dimensions FROM u""")
 def context_classify(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").select("doc_id", T.evidence_units(F.col("title"), F.col("text")).alias("units"))
-    patterns = {n: (any_of(CONTEXT[n]), any_of(CONTEXT_EXCLUDED[n])) for n in CONTEXT}
+    patterns = {n: (any_of(CONTEXT[n]), any_of(CONTEXT_TITLE[n]), any_of(CONTEXT_EXCLUDED[n])) for n in CONTEXT}
     return d.select("doc_id", F.array_join(T.classify_units(F.col("units"), patterns), "|").alias("dimensions"))
 
 
@@ -62,24 +65,29 @@ c AS (SELECT doc_id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] || ' ' || w[p +
 m AS (SELECT doc_id, max(n) >= 4 AS flagged FROM c GROUP BY 1)
 SELECT doc_kind, count(*) AS texts, avg(CASE WHEN coalesce(flagged, false) THEN 1.0 ELSE 0.0 END) AS flagged_share, avg(CASE WHEN coalesce(flagged, false) THEN 1.0 ELSE 0.0 END) <= 0.05 AS passes FROM t LEFT JOIN m USING (doc_id) GROUP BY 1""")
 def model_screen_gate(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").where("text IS NOT NULL")
-    flags = repetition_screen_frame(d.select("doc_id", "text"), "doc_id", "text").select("doc_id", "flagged")
-    share = F.avg(F.coalesce("flagged", F.lit(False)).cast("double"))
-    return d.select("doc_id", "doc_kind").join(flags, "doc_id", "left").groupBy("doc_kind").agg(F.count(F.lit(1)).alias("texts"), share.alias("flagged_share"), (share <= 0.05).alias("passes"))
+    d = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_kind", "text")
+    return screen_gate(d, "text", ["doc_kind"], ["doc_kind"])
 
 
 def _mention_sql() -> str:
     cases = []
     for code, names in COUNTRY_ALIASES.items():
-        whole = "|".join(re.escape(n).replace("\\ ", r"\s+") for n in names)
-        test = f"regexp_matches(x, {_quoted(rf'(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])({whole})([^\p{{L}}\p{{M}}\p{{N}}_]|$)')})"
+        whole = "|".join(map(re.escape, names))
+        test = f"regexp_matches(y, {_quoted(rf'(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])({whole})([^\p{{L}}\p{{M}}\p{{N}}_]|$)')})"
         if code in ("US", "GB"):
-            test += f" OR regexp_matches(x, '(^|[^A-Za-z0-9_]){'US' if code == 'US' else 'UK'}([^A-Za-z0-9_]|$)')"
+            test += f" OR regexp_matches(y, '(^|[^A-Z]){'US' if code == 'US' else 'UK'}([^A-Z]|$)')"
         cases.append(f"CASE WHEN {test} THEN '{code}' END")
     return f"list_sort(list_filter([{', '.join(cases)}], lambda c: c IS NOT NULL))"
 
 
-@query(f"""WITH n AS (SELECT DISTINCT a.institution_name AS x FROM (SELECT unnest(affiliations) AS a FROM reconciled)), c AS (SELECT x AS institution_name, {_mention_sql()} AS codes FROM n WHERE x IS NOT NULL)
+def _campus_sql(text: str) -> str:
+    joined = rf"regexp_replace(regexp_replace({text}, '([\p{{L}}\p{{N}}_])-\s*\n\s*([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '[\s\p{{Z}}]+', ' ', 'g')"
+    for pattern, name in CAMPUSES:
+        joined = f"regexp_replace({joined}, {_quoted(pattern)}, '{name}', 'g')"
+    return joined
+
+
+@query(f"""WITH n AS (SELECT DISTINCT a.institution_name AS x FROM (SELECT unnest(affiliations) AS a FROM reconciled)), k AS (SELECT x, {_campus_sql('x')} AS y FROM n WHERE x IS NOT NULL), c AS (SELECT x AS institution_name, {_mention_sql()} AS codes FROM k)
 SELECT institution_name, array_to_string(codes, '|') AS codes, CASE WHEN len(codes) = 1 THEN codes[1] END AS single_country FROM c""")
 def country_mentions(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "reconciled").select(F.explode("affiliations.institution_name").alias("institution_name")).where("institution_name IS NOT NULL").distinct()
@@ -92,14 +100,29 @@ def tagless_titles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "openalex_work").where("title IS NOT NULL").select("seq", T.strip_tags(F.col("title")).alias("title"))
 
 
-@query(r"""SELECT seq, regexp_replace(lower(regexp_replace(title, '\\[A-Za-z]+\{([^{}]*)\}', '\1', 'g')), '[^a-z0-9]+', '', 'g') AS key FROM openalex_work WHERE regexp_matches(title, '^[\x00-\x7F]*$')""")
+@query(r"""SELECT seq, lower(regexp_replace(regexp_replace(title, '\\[A-Za-z]+\{([^{}]*)\}', '\1', 'g'), '[^A-Za-z0-9]+', '', 'g')) AS key FROM openalex_work""")
 def compact_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "openalex_work").where(F.col("title").rlike(r"^[\x00-\x7F]*$")).select("seq", T.compact_key(F.col("title")).alias("key"))
+    return table(spark, folder, "openalex_work").select("seq", T.compact_key(F.col("title")).alias("key"))
+
+
+#: Hosts of every rank, beside which the tables' own addresses stand.
+HOSTS = ["physics.uni.edu", "www.cs.ox.ac.uk", "stats.gov", "data.gov.sg", "orcid.org", "ror.org", "www.linkedin.com", "researchgate.net", "edu.example", "notlinkedin.com.example"]
+ADDRESS_SQL = """a AS (SELECT seq, official_url AS url FROM paper WHERE official_url <> '' UNION ALL SELECT p.seq, 'https://' || h || '/' || regexp_replace(official_url, '^[a-z]+://[^/]*/?', '') FROM paper p CROSS JOIN (SELECT unnest([""" + ", ".join(f"'{h}'" for h in HOSTS) + """]) AS h) WHERE official_url <> ''),
+r AS (SELECT seq, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS full_host FROM a),
+k AS (SELECT seq, url, regexp_replace(full_host, '^www\\.', '') AS host, CAST(CASE WHEN regexp_matches(full_host, '(\\.edu|\\.ac\\.uk|\\.edu\\.sg|\\.gov|\\.gov\\.sg)$') THEN 0 WHEN full_host IN ('orcid.org', 'ror.org') THEN 1
+  WHEN regexp_matches(full_host, '(linkedin\\.com|researchgate\\.net)$') THEN 3 ELSE 2 END AS INTEGER) AS source_rank FROM r)"""
+
+
+def addresses(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables' addresses, and the same pages under hosts of every rank."""
+    own = table(spark, folder, "paper").where(F.col("official_url") != "").select("seq", F.col("official_url").alias("url"))
+    page = F.regexp_replace("url", "^[a-z]+://[^/]*/?", "")
+    return own.unionByName(own.select("seq", F.explode(F.array(*(F.concat(F.lit(f"https://{h}/"), page) for h in HOSTS))).alias("url")))
 
 
-@query(r"""SELECT seq, lower(regexp_extract(official_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS host, 2 AS source_rank FROM paper WHERE official_url <> ''""")
+@query(f"WITH {ADDRESS_SQL} SELECT seq, url, host, source_rank FROM k")
 def url_source_rank(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "paper").where(F.col("official_url") != "").select("seq", host(F.col("official_url")).alias("host"), source_authority(F.col("official_url")).alias("source_rank"))
+    return addresses(spark, folder).select("seq", "url", host(F.col("url")).alias("host"), source_authority(F.col("url")).alias("source_rank"))
 
 
 @query(r"""SELECT seq, nullif(regexp_replace(regexp_extract(lower(doi), '(10\.\d+/\S+)', 1), '[.,;\s]+$', ''), '') AS clean, regexp_matches(doi, '^10\.') AS bare FROM openalex_work WHERE doi <> ''""")
@@ -130,11 +153,10 @@ def corpus_summary(spark: SparkSession, folder: str) -> DataFrame:
     return d.groupBy("doc_kind").agg(F.count(F.lit(1)).alias("texts"), F.sum((F.coalesce(F.length("text"), F.lit(0)) == 0).cast("int")).alias("missing"), english.alias("english"), (english / F.count(F.lit(1))).alias("share"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, regexp_matches(text, '(?m)^[ \t]*#{1,6}[ \t]') AS headed, len(regexp_extract_all(text, '```')) AS fences FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, headed, fences % 2 = 0 AS balanced FROM c""")
+@query(r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s*```')) AS fences, len(regexp_extract_all(text, '(?m)^\s*:::+\s*\{?[A-Za-z0-9_.]')) AS opened, len(regexp_extract_all(text, '(?m)^\s*:::+\s*$')) AS closed FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, fences % 2 = 0 AND opened = closed AS balanced FROM c""")
 def markdown_shape(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", F.col("text").rlike(r"(?m)^[ \t]*#{1,6}[ \t]").alias("headed"), (F.regexp_count("text", F.lit("```")) % 2 == 0).alias("balanced"))
+    return table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", T.balanced_fences(F.col("text")).alias("balanced"))
 
 
 @query("SELECT p_partkey, CAST(levenshtein(p_brand, p_type) AS INTEGER) AS distance FROM part")

@@ -164,7 +164,7 @@ def papers_of_pages(pages: DataFrame, kind: str, html_column: str = "html", volu
 
 def systems_of_pages(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """Rows (rank, system, country, cores, rmax, power) of ranked tables, thousands commas dropped."""
-    cells = F.udf(lambda p: ranked_table(p), "array<array<string>>")
+    cells = F.pandas_udf(lambda pages: pages.map(lambda p: ranked_table(p or "")), "array<array<string>>")
     from corvelo.functions.text import number
 
     r = pages.select(F.explode(cells(html_column)).alias("c"))
@@ -172,16 +172,25 @@ def systems_of_pages(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
 
 def affiliations_of_tei(documents: DataFrame, column: str = "xml") -> DataFrame:
-    """Affiliations (other columns, institution_name, country_code) of TEI documents."""
-    parse = F.udf(lambda d: [{"institution_name": n, "country_code": c} for n, c in tei_affiliations(d)] if d else [], "array<struct<institution_name:string,country_code:string>>")
+    """Affiliations (other columns, institution_name, country_code) of TEI documents; null and malformed ones
+    give none."""
+
+    def one(document: str | None) -> list[dict]:
+        try:
+            return [{"institution_name": n, "country_code": c} for n, c in tei_affiliations(document)] if document else []
+        except ET.ParseError:
+            return []
+
+    parse = F.pandas_udf(lambda documents: documents.map(one), "array<struct<institution_name:string,country_code:string>>")
     return documents.select(*[c for c in documents.columns if c != column], F.explode(parse(column)).alias("a")).select("*", "a.*").drop("a")
 
 
 def zip_chart(lines: list[str], axis: str) -> list[tuple[str, float]]:
-    """Labels with values of a chart's text: numbers before the axis line, as many labels after it."""
+    """Labels with values of a chart's text: numbers before the axis line, labels after it; raises where their
+    numbers differ."""
     at = lines.index(axis)
     values = [float(v.replace(",", "")) for v in lines[:at] if re.fullmatch(r"[\d.,]+", v)]
-    labels = [v for v in lines[at + 1 :] if v][: len(values)]
+    labels = [v for v in lines[at + 1 :] if v]
     if len(labels) != len(values):
         raise ValueError("labels and values differ in number")
     return list(zip(labels, values))

@@ -11,15 +11,30 @@ from corvelo.sources import pages
 
 def test_front_matter():
     text = "A Title\nAna B\n1University of X, Bra-\nzil 2Acme Research, Berlin, Germany\nAbstract\nIn France we met."
-    assert A.candidates(text) == ["University of X, Brazil", "Acme Research, Berlin, Germany"]
-    assert A.numbered_parts("no marks") == ["no marks"] and A.region("") == ""
+    assert A.candidates(text) == ["University of X, Brazil", "Acme Research, Berlin, Germany", "University of X, Brazil 2Acme Research, Berlin, Germany"]
+    assert A.numbered_parts("no marks") == [] and A.region("") == ""
+    assert A.candidates("Title\nAna B\nSkylab, Recife\nAbstract\nx") == []
+    assert A.candidates("Title\nAna B\nSkylab, Recife\nAbstract\nx", known=["skylab"]) == ["Skylab, Recife"]
+    assert A.candidates("Association for Computational Linguistics, University Press\nAbstract") == []
+    assert A.candidates("Universitat de X\nUniversitét Y\nabstract") == ["Universitat de X", "Universitét Y"]
+
+
+def test_region_before_correspondence():
+    """Columns may put affiliations after the introduction; the note that follows them shows where they are."""
+    text = "Title\nAbstract\nText of it.\n1. Introduction\nWords of the left column in Canada.\n*Equal contribution. 1Department of Physics,\nUniversity of Lisbon, Portugal\n2Graz University, Austria. Correspondence to: ana@example.org\nProceedings, Vancouver, Canada.\n"
+    found = A.region(text)
+    assert found.startswith("*Equal contribution") and "left column" not in found and "Vancouver" not in found
+    plain = "Title\n1 University of Perth\n2 King's College\nAbstract\nJapanese learners.\n1 Introduction\n"
+    assert "Perth" in A.region(plain) and "Japanese" not in A.region(plain)
+    unnumbered = "\n".join(f"line {k}" for k in range(60)) + "\nCorrespondence to: x"
+    assert A.region(unnumbered).splitlines() == [f"line {k}" for k in range(45, 60)]
 
 
 def test_augment(spark):
     kind = "affiliations array<struct<institution_id:string,institution_name:string,country_code:string,institution_type:string>>, diagnostics array<struct<stage:string,outcome:string,detail:string>>, t string"
-    d = spark.createDataFrame([([], [], "X University, Brazil\nAbstract\nFrance"), ([("I", "n", "US", None)], None, "Brazil\nAbstract"), (None, None, None)], kind)
+    d = spark.createDataFrame([([], [], "X University, Brazil\nAbstract\nFrance"), ([("I", "n", "US", None)], None, "USA and Brazil\nAbstract"), ([], [], "Nothing\nAbstract"), (None, None, None)], kind)
     got = [([a.country_code for a in r.affiliations or []], [x.outcome for x in r.diagnostics or []]) for r in A.augment_countries(d, "t").collect()]
-    assert got == [(["BR"], ["matched"]), (["US"], []), ([], ["not_found"])]
+    assert got == [(["BR"], ["success"]), (["US", "BR"], ["success"]), ([], ["unresolved"]), ([], ["not_available"])]
 
 
 def test_targets(spark):
@@ -36,6 +51,11 @@ def test_overlap(spark):
     got = {r.g: r for r in X.overlap_scores(d, ["g"]).collect()}
     assert got["a"].chrf == pytest.approx(100) and got["a"].word_error_rate == 0
     assert got["b"].chrf < 20 and got["b"].word_error_rate == 100
+    assert got["a"].bleu == pytest.approx(0) and got["a"].ter == 0 and got["b"].bleu == 0  # three words have no run of four
+    assert X.shift_edits("a b c d e".split(), "d e a b c".split()) == 1 and X.word_edits("a b c d e".split(), "d e a b c".split()) == 4
+    long = spark.createDataFrame([("g", "the cat sat on the mat today", "the cat sat on the mat today"), ("h", "the cat sat on the mat today .", "the cat sat on a mat today .")], "g string, reference string, prediction string")
+    got = {r.g: r for r in X.overlap_scores(long, ["g"]).collect()}
+    assert got["g"].bleu == pytest.approx(100) and got["h"].bleu == pytest.approx(100 * (7 / 8 * 5 / 7 * 3 / 6 * 1 / 5) ** 0.25) and got["h"].ter == pytest.approx(12.5)
 
 
 def test_models_and_sources(spark):

@@ -48,7 +48,7 @@ def test_full_and_fractional_counts(spark, panel):
 def test_sensitivity_bounds(spark, panel):
     r = papers(spark, [("v", ["BR", "US"]), ("v", ["US"]), ("v", [])])
     br = next(x for x in indicators.country_sensitivity(r, panel).collect() if x.country_code == "BR")
-    assert (br.coverage, br.observed_full_share, br.observed_fractional_share, br.mar_full_count) == (0.666667, 0.5, 0.25, 1.5)
+    assert (br.coverage, br.observed_full_share, br.observed_fractional_share, br.mar_full_count) == (0.66666667, 0.5, 0.25, 1.5)
     assert (br.lower_bound, br.upper_bound, br.low_coverage) == (0.333333, 0.666667, True)
 
 
@@ -104,7 +104,16 @@ def test_affiliation_merge(spark):
     kind = "array<struct<institution_id:string,institution_name:string,country_code:string,institution_type:string>>"
     d = spark.createDataFrame([([("", "Acme Lab", "US", None), ("I1", "ACME lab", "US", None), ("", "Other", None, None), ("", "other", None, "x")],)], f"a {kind}")
     got = d.select(records.merge_affiliations(F.col("a"))).first()[0]
-    assert [(x.institution_id, x.institution_name) for x in got] == [("I1", "ACME lab"), ("", "other")]
+    assert [(x.institution_id, x.institution_name) for x in got] == [("I1", "ACME lab"), ("", "Other")]
+
+    def merged(*items):
+        return [(x.institution_name, x.country_code) for x in spark.createDataFrame([([("", n, c, None) for n, c in items],)], f"a {kind}").select(records.merge_affiliations(F.col("a"))).first()[0]]
+
+    assert merged(("Association for Computational Linguistics", "US"), ("Xi University", "CN")) == [("Xi University", "CN")]
+    assert merged(("Acme Deep.", None), ("Equal contribution 1Acme Deep.", None), ("Acme Deep.", "US")) == [("Acme Deep.", "US")]
+    assert merged(("Equally contributed: Acme Deep.", None), ("Acme Deep.", None)) == [("Acme Deep.", None)]
+    assert merged(("Acme", "US"), ("Beta", None), ("ACME", "BR"), ("Ácme", "US"), ("", "US"), (None, None)) == [("Ácme", "US"), ("Beta", None), ("ACME", "BR")]
+    assert spark.createDataFrame([(None,)], f"a {kind}").select(records.merge_affiliations(F.col("a"))).first()[0] is None
 
 
 def test_checks(spark):
@@ -126,9 +135,34 @@ def test_samples(spark):
     assert rows(one) == rows(two) and records.complement(d, one, ["id"]).count() == 190
     with pytest.raises(ValueError):
         sampling.seeded_sample(d, ["id"], 999, 7)
-    cases = spark.createDataFrame([(f"s{k % 4}", f"g{k % 9}") for k in range(40)], "stratum string, segment_id string").distinct()
+    decisions = [("en", f"g{k:02d}", "A || B", ["A", "B", "tie"][k % 3], k % 7 != 0) for k in range(40)] + [("en", f"g{k:02d}", "A || C", "A", True) for k in range(12)]
+    d = spark.createDataFrame(decisions, "direction string, segment_id string, model_pair string, preferred_model string, stable boolean")
+    penalties = [("en", f"g{k:02d}", m, (k * (3 if m == "A" else 5)) % 9) for k in range(40) for m in "AB"]
+    cases = sampling.human_candidates(d, spark.createDataFrame(penalties, "direction string, segment_id string, model string, penalty int"))
+    known = {(g, m): x for _, g, m, x in penalties}
+    for r in cases.collect():
+        a, b = (known.get((r.segment_id, m)) for m in (r.left_model, r.right_model))
+        better = None if a is None or b is None else "tie" if a == b else r.left_model if a < b else r.right_model
+        apart = not r.stable or better is not None and r.preferred_model not in (better, "tie")
+        assert r.stratum == ("disagreement" if apart else "borderline" if b is not None and abs(a - b) <= 2 else "clear")
+    # the picks one by one
+    left, wanted, used = [r.asDict() for r in cases.collect()], [], set()
+    for pair in ("A || B", "A || C"):
+        pool = [r for r in left if r["model_pair"] == pair]
+        before = len(wanted)
+        for s in ("clear", "borderline", "disagreement"):
+            fit = sorted((r for r in pool if r["stratum"] == s and r["segment_id"] not in used), key=lambda r: (-r["penalty_gap"] if s == "clear" else r["penalty_gap"], r["segment_id"]))[:3]
+            wanted += fit
+            used |= {r["segment_id"] for r in fit}
+        if len(wanted) - before < 9:
+            fit = sorted((r for r in pool if r["segment_id"] not in used), key=lambda r: (r["penalty_gap"], r["segment_id"]))[: 9 - len(wanted) + before]
+            wanted += fit
+            used |= {r["segment_id"] for r in fit}
     picked = sampling.human_sample(cases).collect()
-    assert len({r.segment_id for r in picked}) == len(picked) <= 18 and picked[0].sample_id == "human-01"
+    assert [(r.model_pair, r.segment_id) for r in picked] == [(r["model_pair"], r["segment_id"]) for r in wanted[:18]] and picked[0].sample_id == "human-01"
+    import hashlib
+
+    assert all(r.swap == (int(hashlib.sha256(r.segment_id.encode()).hexdigest(), 16) % 2 == 0) for r in picked)
 
 
 def test_metrics(spark):
@@ -258,6 +292,79 @@ def test_explanation(spark):
     assert len(c) == 3 and all(r.probability < 0.5 for r in c)
 
 
+def test_system_signals(spark):
+    kind = "w string, a array<struct<institution_id:string,institution_name:string,country_code:string,institution_type:string>>, m string"
+    at = lambda n, c: ("", n, c, None)
+    d = spark.createDataFrame([
+        ("W", [], "title"), (None, None, None), ("W", [at("Uni", None)], "title"), ("W", [at("Google DeepMind.", None), at("IIT", "IN")], "title+v2-pdf-ner"),
+        ("W", [at("Equal contribution 1Google DeepMind.", None), at("Google DeepMind.", "US")], "title+v2-pdf-ner"), (None, [at("Uni", "US")], "fallback"), ("W", [at("Uni", "US")], "title+fallback"), ("W", [at("Uni", "US"), at("Lab", None)], "title"),
+    ], kind)
+    got = d.select(*review.system_signal(F.col("w"), F.col("a"), F.col("m"))).collect()
+    assert [r[0] for r in got] == ["unreconciled", "unreconciled", "country_missing", "ambiguous_multinational_branch", "mixed_sources", "fallback_only", "mixed_sources", "automatic_pass"]
+    assert [r[1] for r in got] == ["high"] * 4 + ["medium"] * 3 + ["low"] and got[3][2] == "Branch location is unresolved for: Google DeepMind."
+
+
+def test_countries_named_and_noted(spark):
+    texts = {
+        "A campus usage study": [], "KAIST, South Korea": ["KR"], "Indian Institute of Science, India": ["IN"], "The Hong Kong University of Science and Technology (Guangzhou), China": ["CN"],
+        "Chinese University of Hong Kong, Shenzhen, China": ["CN"], "Univ of Hong Kong": ["HK"], "Tel Aviv, Israel; Amsterdam, Nether-\nlands": ["IL", "NL"], "xUSx, USy": ["US"], "aus BUSY": [], "us and uk": ["GB"], "well- \n known China": ["CN"],
+    }
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(T.country_codes(F.col("t"))).collect()
+    assert [r[0] for r in got] == list(texts.values())
+    notes = {
+        "- Expected countries: Austria and United Kingdom\n- Pipeline countries: Switzerland\nExpected country set: AT, GB, not CH.": ["AT", "GB"], "Google New York means a clear US institution": ["US"], "Expected CN and SG; pipeline CN SG and US.": ["CN", "SG"],
+        "Expected country set: Brazil": ["BR"], "expected country is BR": ["BR"], "expected countries: PDF says BR and UK": ["BR", "GB"], "Expected AE HK ZA XX.": ["AE", "HK", "ZA"], "": [],
+    }
+    got = spark.createDataFrame(list(enumerate(notes)), "k int, t string").orderBy("k").select(T.noted_countries(F.col("t"))).collect()
+    assert [r[0] for r in got] == list(notes.values())
+
+
+def test_context_by_sentence_and_title(spark):
+    from corvelo.functions.vocabulary import CONTEXT, CONTEXT_EXCLUDED, CONTEXT_TITLE, any_of
+
+    patterns = {n: (any_of(CONTEXT[n]), any_of(CONTEXT_TITLE[n]), any_of(CONTEXT_EXCLUDED[n])) for n in CONTEXT}
+    cases = {
+        ("", "We offer actionable algorithmic recourse."): ["transparency_explainability"], ("", "A jailbreak evades the guardrails of model safety."): ["security_safety"], ("", "The optimizer shows a simplicity bias."): [], ("", "Instance discrimination is the objective."): [],
+        ("", "Earlier prior work names fairness as one example. We measure fairness for protected groups and quantify demographic disparities."): ["fairness"],
+        ("Interpretability of small nets", "We train nets."): ["transparency_explainability"], ("Privacy first", ""): ["privacy_data_governance"], ("", "Interpretability of small nets."): [], (None, None): [],
+        ("", "Adversarial example training improves domain generalization in unseen environments."): [], ("", "Fundamentally different problems, such as measuring bias or fairness, exist."): [],
+        ("Nets", "Ana Silva Abstract We study trains. 1 Introduction A jailbreak is bad."): [],
+    }
+    rows = [(k, *c) for k, c in enumerate(cases)]
+    got = spark.createDataFrame(rows, "k int, title string, text string").orderBy("k").select(T.classify_units(T.evidence_units(F.col("title"), F.col("text")), patterns)).collect()
+    assert [r[0] for r in got] == list(cases.values())
+
+
+def test_support_by_distinctive_words(spark):
+    text = "key laboratory ministry of education of china xiamen university p r china skywork ai"
+    names = {"xiamen university": True, "skyworks solutions united states": False, "ministry of public security of the people s republic of china": False, "the xiamen university": True, "university of skywork ai research institute": True, "google deepmind": False, "": False}
+    got = spark.createDataFrame(list(enumerate(names)), "k int, n string").orderBy("k").select(T.text_supports(F.col("n"), F.lit(text)), T.lexically_supported(F.col("n"), F.lit(text))).collect()
+    assert [r[0] for r in got] == list(names.values()) and [r[1] for r in got] == [True, False, True, False, True, False, False]
+    assert spark.range(1).select(T.mentions_all(F.array(F.lit("bank"), F.lit("of"), F.lit("rio")), F.array(F.lit("rio"), F.lit("bank"))), T.mentions_all(F.array(F.lit("of")), F.array(F.lit("of")))).first()[:] == (True, False)
+    urls = {"https://www.x.edu/a": True, "https://ror.org/1": True, "https://acme-labs.com/": True, "https://acmelabs.com/": False, "https://research.com/": False, "https://linkedin.com/in/a": False}
+    got = spark.createDataFrame(list(enumerate(urls)), "k int, u string").orderBy("k").select(W.first_party(F.col("u"), F.array(F.lit("acme"), F.lit("research"), F.lit("ai")))).collect()
+    assert [r[0] for r in got] == list(urls.values())
+
+
+def test_gate_with_dimensions(spark):
+    slices = evaluate.metric_slices(spark.createDataFrame([(True, True, "v")] * 12, "t boolean, p boolean, v string"), "t", "p", "v", F.lit(True))
+    labels = spark.createDataFrame([("safety | none", "safe|fairness"), (None, "fairness")], "t string, p string")
+    rows_ = labels.select(evaluate.dimension_names(F.col("t"), {"safe": "safety"}).alias("t"), evaluate.dimension_names(F.col("p"), {"safe": "safety"}).alias("p"))
+    assert rows_.first()[:] == (["safety"], ["safety", "fairness"])
+    gate = evaluate.release_gate(slices, evaluate.dimension_metrics(rows_, ["safety", "fairness"], "t", "p")).first()
+    assert (gate.passes, gate.validated_dimensions, gate.dimensions_pass) == (True, "safety", False)
+
+
+def test_human_agreement(spark):
+    review_ = spark.createDataFrame([(f"s{k}", "A" if k < 7 else " B ") for k in range(10)] + [("s10", ""), ("s11", "tie")], "sample_id string, choice string")
+    key = spark.createDataFrame([(f"s{k}", "A" if k < 6 else "B") for k in range(11)] + [("s11", "unstable")], "sample_id string, judge_choice string")
+    got = evaluate.human_agreement(review_, key).first()
+    assert (got.completed_items, got.stable_judge_items, got.unstable_judge_items, got.raw_agreement, got.passes) == (11, 10, 1, 0.9, True)
+    assert abs(got.cohen_kappa - (0.9 - 0.54) / 0.46) < 1e-9 and got.agreement_ci_low < 0.9 <= got.agreement_ci_high
+    with pytest.raises(ValueError):
+        evaluate.human_agreement(review_, key.where("judge_choice = 'unstable'"))
+
+
 def test_review_rules(spark):
     d = spark.createDataFrame([("fail", "high", "", ""), ("pass", "low", "", "")], "review_status string, confidence string, failure_codes string, review_note string")
     assert [r[0] for r in d.select(review.edit_violations()).collect()] == [["fail_needs_code"], []]

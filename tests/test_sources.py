@@ -48,6 +48,11 @@ def test_pages(spark):
     r = pages.systems_of_pages(spark.createDataFrame([(table,)], "html string")).first()
     assert (r["rank"], r["country"], r["cores"], r["rmax"]) == (1, "Brazil", 1024, 12.5)
     assert pages.zip_chart(["1", "2,000", "axis", "BR", "US"], "axis") == [("BR", 1.0), ("US", 2000.0)]
+    for labels in (["BR"], ["BR", "US", "FR"]):
+        with pytest.raises(ValueError):
+            pages.zip_chart(["1", "2,000", "axis", *labels], "axis")
+    t = pages.affiliations_of_tei(spark.createDataFrame([(1, TEI), (2, "<broken"), (3, None)], "k int, xml string")).collect()
+    assert [(r.k, r.institution_name, r.country_code) for r in t] == [(1, "U; L", "BR")]
     k = pages.cycle_tables('<table><tr><td>T</td><td>Ana (U); Bo (V)</td><td>10.1145/1</td></tr></table>')[0]
     assert k["authors"] == ["Ana", "Bo"] and k["doi"] == "10.1145/1" and k["track"] == "february"
 
