@@ -49,7 +49,7 @@ def test_sensitivity_bounds(spark, panel):
     r = papers(spark, [("v", ["BR", "US"]), ("v", ["US"]), ("v", [])])
     br = next(x for x in indicators.country_sensitivity(r, panel).collect() if x.country_code == "BR")
     assert (br.coverage, br.observed_full_share, br.observed_fractional_share, br.mar_full_count) == (0.66666667, 0.5, 0.25, 1.5)
-    assert (br.lower_bound, br.upper_bound, br.low_coverage) == (0.333333, 0.666667, True)
+    assert (br.lower_bound, br.upper_bound, br.low_coverage) == (0.33333333, 0.66666667, True)
 
 
 def test_pooling_weights(spark, panel):
