@@ -104,7 +104,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
     review = table(spark, folder, "translation_eval_alignment_review")
     passages = table(spark, folder, "translation_benchmark_passages").join(review.select("pair_id"), "pair_id", "left_anti")
-    return align_passages(passages, review.where(F.col("review_status") == "accept"))
+    return align_passages(passages, review.select("english", "portuguese", "alignment_type", "review_status"))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
