@@ -1,8 +1,9 @@
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from corvelo.llm import queries as Q
-from corvelo.llm.subjects import assign_subjects, learn_votes, sentences
+from corvelo.llm.subjects import assign_subjects, learn_votes, seed_terms, sentences, terms
 from corvelo.session import table
 
 
@@ -38,3 +39,21 @@ def test_edges(spark, folder):
     got = assign_subjects(odd.unionByName(odd), areas, labels).collect()
     assert all(r.doc_id >= 0 for r in got) and len(got) == len({(r.doc_id, r.subject) for r in got}) > 0
     assert Q.p9_found(spark, folder).columns == ["doc_id", "subject"]
+
+
+def test_blocks_change_nothing(spark, folder):
+    d, areas, labels = (table(spark, folder, n) for n in ("documents", "subject_area", "subject_label"))
+    whole, parts = ({tuple(r)[:2] for r in assign_subjects(d, areas, labels, block=b).collect()} for b in (500_000, 300))
+    assert whole and whole == parts
+
+
+def test_seed_terms(spark):
+    rows = [(s, f"Texts on {a}, point of {b} and the like.", None) for s, a, b in [("x", "apple pie", "view"), ("y", "iron", "sale"), ("z", "sea", "order")]]
+    got = seed_terms(spark.createDataFrame(rows, "subject string, description_en string, description_pt string"))
+    assert got["apple pie"] == "x" and got["iron"] == "y" and got["sea"] == "z" and not any("texts" in t or "like" in t for t in got)
+
+
+def test_terms_stay_within_sentences():
+    words, at = np.array([11, 20, 31, 41], dtype=np.uint64), np.array([0, 0, 0, 1])  # an odd hash is a word of three letters
+    found, where = terms(words, at)
+    assert len(found) == len(set(found.tolist())) == 5 and where.tolist() == [0, 0, 1, 0, 0]
