@@ -46,6 +46,15 @@ def prepare_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder, deleted when the application ends."""
+    prepare_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Writes the frame as a table into the checkpoint folder and goes on from there.
 
@@ -55,11 +64,8 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     `drop_cut`.
     """
     spark = frame.sparkSession
-    prepare_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    path = shared_path(spark, "cut")
     frame.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     written = spark.read.schema(frame.schema).parquet(path)
     written._cut = path
     return written
