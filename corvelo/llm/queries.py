@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvelo.session import cut_lineage, table
+from corvelo.session import cut_lineage, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,10 +79,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
-    from corvelo.llm.sample import extend_ledger, halving_rates, paper_key
+    """The members after two runs that share a ledger: over the rows that came first, then over all."""
+    from corvelo.llm.sample import halving_rates, paper_key, update_ledger
 
     papers = table(spark, folder, "paper").select(paper_key().alias("key"), F.col("batch_no").alias("epoch"), "seq")
-    return extend_ledger(papers, None, halving_rates()).where("chosen").select("key", "first_epoch", "rate", "draw")
+    ledger = shared_path(spark, "ledger")
+    half = (papers.agg(F.max("seq")).first()[0] or 0) / 2
+    update_ledger(papers.where(F.col("seq") <= half), ledger, halving_rates())
+    return update_ledger(papers, ledger, halving_rates()).where("chosen").select("key", "first_epoch", "rate", "draw")
 
 
 P5_SAMPLE_SQL = """

@@ -8,9 +8,11 @@ it keeps its line for ever, whatever arrives later.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Draws are whole numbers below this.
@@ -54,14 +56,36 @@ def extend_ledger(records: DataFrame, ledger: DataFrame | None, rate: Callable[[
     return drawn if ledger is None else ledger.select(drawn.columns).unionByName(drawn)
 
 
+def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The ledger kept at `path`, None where there is none yet, and the number of its runs."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    runs = [s.getPath().toString() for s in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, "run-*")) or []]
+    return (spark.read.parquet(*runs) if runs else None), len(runs)
+
+
 def update_ledger(records: DataFrame, path: str, rate: Callable[[Column], Column], seed: str = "sample", key: str = "key", epoch: str = "epoch", order: str = "seq") -> DataFrame:
-    """Appends the lines of new keys to the ledger kept at `path` and returns the whole. A second run over the
-    same records adds nothing."""
+    """Adds the lines of new keys to the ledger kept at `path` and returns the whole. A second run over the
+    same records adds nothing.
+
+    A run is written aside and put in place by one renaming that fails where another run of that number has come
+    first; it is then drawn again against the longer ledger. So a run is whole or absent, and two at a
+    time write no key twice."""
     spark = records.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    held = spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
-    new_lines(records, held, rate, seed, key, epoch, order).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    while True:
+        held, runs = read_ledger(spark, path)
+        aside = f"{path}/_run-{uuid.uuid4().hex}"
+        new_lines(records, held, rate, seed, key, epoch, order).write.parquet(aside)
+        files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(Path(aside).toUri(), spark._jsc.hadoopConfiguration()) if "://" in aside else spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(Path(aside), Path(f"{path}/run-{runs:06d}"), spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            files.delete(Path(aside), True)
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            continue
+        return read_ledger(spark, path)[0]
 
 
 def paper_key() -> Column:

@@ -109,18 +109,20 @@ def close_words(left: DataFrame, right: DataFrame, most: int = 2) -> DataFrame:
     return pairs.withColumn("d", edit_distance("a", "b")).where(F.col("d") <= most)
 
 
-def attribute_organisations(mentions: DataFrame, spread: int = 6, settled: int = 5, typo: float = 3.0, foreign: float = 4.0, unknown: float = -3.0) -> DataFrame:
+def attribute_organisations(mentions: DataFrame, spread: float = 0.002, least_spread: int = 6, settled: int = 5, far: float = 10.0, typo: float = 3.0, foreign: float = 4.0, unknown: float = -3.0) -> DataFrame:
     """The organisations of unresolved names: rows (name, country, entity_id, posterior) for each distinct
     name and country of `mentions` (name, country, entity_id, source) whose entity_id is null or empty and whose
     organisation has an identifier in another row.
 
-    Words seen with at least `spread` identifiers are common words of organisations (kind, department,
-    country); the others are proper names, in which typing errors cost `typo` each. An organisation has
-    a proper name and a kind, a set of common words that most rows of organisations with at least
-    `settled` rows share; observed common words
-    weigh by how often they occur with that kind in resolved rows, which learns abbreviations,
-    translations and departments. Names without a proper name are not attributed; null names are left
-    out; a spelling counts once per source, as rows may be delivered again. An empty table gives an empty result.
+    Words seen with the share `spread` of all identifiers, and `least_spread` of them at least, are common words of
+    organisations (kind, department, country); the others are proper names, in which typing errors cost
+    `typo` each. An organisation has a proper name and a kind, a set of common words that most rows of
+    organisations with at least `settled` rows share (not one that adds words to that of `far` times as many
+    organisations); observed common words weigh by how often they occur
+    with that kind in resolved rows, which learns abbreviations, translations and departments. A name of
+    common words only is attributed where all resolved rows of its very words have one identifier; null names
+    are left out; a spelling counts once per source, as rows may be delivered again. An empty table gives
+    an empty result.
     """
     rows = mentions.where(F.length("name") > 0).groupBy("name", F.nullif("country", F.lit("")).alias("country"), F.nullif("entity_id", F.lit("")).alias("entity_id")).agg(F.count_distinct("source").alias("n"))
     spelled = rows.select("name").distinct().withColumn("words", F.array_distinct(name_words("name")))
@@ -128,47 +130,69 @@ def attribute_organisations(mentions: DataFrame, spread: int = 6, settled: int =
     spelled = rows.select("name", "words").distinct()
     resolved, open_ = rows.where("entity_id IS NOT NULL"), rows.where("entity_id IS NULL")
     seen = cut_lineage(resolved.select("entity_id", "n", F.explode("words").alias("w")).groupBy("entity_id", "w").agg(F.sum("n").alias("n")))
-    common = cut_lineage(seen.groupBy("w").agg(F.count(F.lit(1)).alias("ids")).where(F.col("ids") >= spread).select("w"))
-    size = resolved.groupBy("entity_id").agg(F.sum("n").alias("size"))
-    proper = seen.join(common, "w", "left_anti")
+    spreads = cut_lineage(seen.groupBy("w").agg(F.count(F.lit(1)).alias("ids")))
+    size = cut_lineage(resolved.groupBy("entity_id").agg(F.sum("n").alias("size")))
+    all_ids = size.agg(F.greatest(F.lit(least_spread), spread * F.count(F.lit(1))).alias("bound"))
+    common = cut_lineage(spreads.crossJoin(F.broadcast(all_ids)).where(F.col("ids") >= F.col("bound")).select("w"))  # one row
+    proper = cut_lineage(seen.join(common, "w", "left_anti"))
     # an organisation's proper name: of its frequent words that with the fewest other identifiers
-    spreads = seen.groupBy("w").agg(F.count(F.lit(1)).alias("ids"))
     frequent = proper.join(proper.groupBy("entity_id").agg(F.max("n").alias("most")), "entity_id").where("n >= 0.5 * most").join(spreads, "w")
     place = frequent.groupBy("entity_id").agg(F.max_by("w", F.struct(-F.col("ids"), F.col("n"), F.length("w"), F.col("w"))).alias("place"))
     country = resolved.where("country IS NOT NULL").groupBy("entity_id", "country").agg(F.sum("n").alias("n")).groupBy("entity_id").agg(F.max_by("country", F.struct("n", "country")).alias("home"))
     # kinds: the common words that most rows of a settled organisation share, where another shares them
     kinds = seen.join(common, "w").join(size, "entity_id").where((F.col("size") >= settled) & (F.col("n") >= 0.4 * F.col("size"))).groupBy("entity_id").agg(F.array_sort(F.collect_set("w")).alias("parts"))
-    shared = kinds.groupBy("parts").agg(F.count(F.lit(1)).alias("ids")).where("ids > 1").select("parts")
+    shared = cut_lineage(kinds.groupBy("parts").agg(F.count(F.lit(1)).alias("ids")).where("ids > 1"))
+    # a set that only adds words to one of far more organisations is that one with an abbreviation or a country
+    each = shared.select("parts", "ids", F.explode("parts").alias("w"))
+    fewer = each.select(F.col("parts").alias("fewer"), F.col("ids").alias("of"), "w")
+    wider = each.join(fewer, "w").where((F.size("parts") > F.size("fewer")) & (F.col("of") >= far * F.col("ids"))).groupBy("parts", "fewer").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == F.size("fewer"))
+    shared = shared.select("parts").join(wider.select("parts").distinct(), "parts", "left_anti")
     kinds = cut_lineage(kinds.join(shared, "parts", "left_semi").select("entity_id", "parts", F.array_join("parts", " ").alias("kind")))
     # how likely a common word is with a kind
-    by_kind = size.join(kinds, "entity_id").groupBy("kind", "parts").agg(F.sum("size").alias("total"))
+    by_kind = cut_lineage(size.join(kinds, "entity_id").groupBy("kind", "parts").agg(F.sum("size").alias("total")))
     share = F.least(F.lit(0.98), (F.col("n") + 0.1) / (F.col("total") + 1))
     with_kind = seen.join(common, "w").join(kinds, "entity_id").groupBy("kind", "parts", "w").agg(F.sum("n").alias("n")).join(by_kind.drop("parts"), "kind")
     likely = cut_lineage(with_kind.select("kind", "w", F.log(share).alias("lp"), F.when(F.array_contains("parts", F.col("w")), F.log(1 - share)).otherwise(0.0).alias("without")))
-    rest = by_kind.select("kind", F.log(0.1 / (F.col("total") + 1)).alias("lp0")).join(likely.groupBy("kind").agg(F.sum("without").alias("bare")), "kind")
-    # the likelihood of every name by kind, kinds being few: each word held, each word of the kind left out
+    rest = cut_lineage(by_kind.select("kind", F.log(0.1 / (F.col("total") + 1)).alias("lp0")).join(likely.groupBy("kind").agg(F.sum("without").alias("bare")), "kind"))
+    # the likelihood of a name's common words by kind, for the kinds that share one of them: each word held, each
+    # word of the kind left out; every other kind has the plain score held * lp0 + bare
     words = spelled.select("name", F.explode("words").alias("w"))
-    of_kind = words.join(common, "w").select("name", "w")
+    of_kind = cut_lineage(words.join(common, "w").select("name", "w"))
+    held = spelled.select("name").join(of_kind.groupBy("name").agg(F.count(F.lit(1)).alias("held")), "name", "left").fillna(0, ["held"])
+    held = cut_lineage(held)
+    plain_score = F.col("held") * F.col("lp0") + F.col("bare")
     scored = of_kind.join(likely, "w").join(rest, "kind").groupBy("name", "kind").agg(F.sum(F.col("lp") - F.col("lp0") - F.col("without")).alias("over"))
-    held = of_kind.groupBy("name").agg(F.count(F.lit(1)).alias("held"))
-    kind_scores = held.join(F.broadcast(rest)).join(scored, ["name", "kind"], "left").select("name", "kind", (F.coalesce("over", F.lit(0.0)) + F.col("held") * F.col("lp0") + F.col("bare")).alias("kind_score"))
     # the whole set of telling words as seen with a kind, where that says more than the words one by one
     telling = likely.where(F.col("lp") >= F.log(F.lit(0.05))).select("w").distinct()
-    patterns = of_kind.join(telling, "w").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("w")), " ").alias("pattern"))
+    patterns = cut_lineage(of_kind.join(telling, "w").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("w")), " ").alias("pattern")))
     with_pattern = resolved.join(kinds.select("entity_id", "kind"), "entity_id").join(patterns, "name").groupBy("kind", "pattern").agg(F.sum("n").alias("n")).join(by_kind.select("kind", "total"), "kind")
     with_pattern = with_pattern.select("kind", "pattern", F.log(F.col("n") / (F.col("total") + 1)).alias("as_seen"))
-    kind_scores = kind_scores.join(patterns, "name", "left").join(with_pattern, ["kind", "pattern"], "left").select("name", "kind", F.greatest("kind_score", "as_seen").alias("kind_score"))
-    bare = spelled.select("name").join(of_kind.select("name").distinct(), "name", "left_anti").select("name", F.lit("").alias("kind"), F.lit(0.0).alias("kind_score"))
-    kind_scores = cut_lineage(kind_scores.unionByName(bare))
-    own_kind = kind_scores.groupBy("name").agg(F.max_by("kind", F.struct("kind_score", "kind")).alias("kind"))
-    summed = resolved.join(kind_scores, "name").groupBy("entity_id", "kind").agg(F.sum(F.col("n") * F.col("kind_score")).alias("fit"))
-    kinds = cut_lineage(summed.groupBy("entity_id").agg(F.max_by("kind", F.struct("fit", "kind")).alias("kind")))
+    kind_scores = scored.join(held, "name").join(rest, "kind").join(patterns, "name", "left").join(with_pattern, ["kind", "pattern"], "left")
+    kind_scores = cut_lineage(kind_scores.select("name", "kind", F.greatest(F.col("over") + plain_score, "as_seen").alias("kind_score"), (F.greatest(F.col("over") + plain_score, "as_seen") - plain_score).alias("over")))
+    # a name's own kind: the best of those it shares a word with, or the best by the plain score for as many words
+    others = held.where("held > 0").select("held").distinct().join(F.broadcast(rest), F.lit(True)).groupBy("held").agg(F.max_by("kind", plain_score).alias("kind"), F.max(plain_score).alias("kind_score"))  # few counts by kinds
+    own = kind_scores.select("name", "kind", "kind_score").unionByName(held.join(others, "held").select("name", "kind", "kind_score"))
+    own = own.unionByName(held.where("held = 0").select("name", F.lit("").alias("kind"), F.lit(0.0).alias("kind_score")))
+    own = cut_lineage(own.groupBy("name").agg(F.max_by("kind", F.struct("kind_score", "kind")).alias("kind"), F.max("kind_score").alias("own")))
+    # an organisation's kind: that under which all its rows are likeliest; none where its rows hold no common word
+    whole = resolved.join(held, "name").groupBy("entity_id").agg(F.sum(F.col("n") * F.col("held")).alias("held"), F.sum("n").alias("rows"))
+    gains = resolved.select("entity_id", "name", "n").join(kind_scores, "name").groupBy("entity_id", "kind").agg(F.sum(F.col("n") * F.col("over")).alias("over"))
+    fit = F.col("over") + F.col("held") * F.col("lp0") + F.col("rows") * F.col("bare")
+    kinds = gains.join(whole, "entity_id").join(rest, "kind").groupBy("entity_id").agg(F.max_by("kind", F.struct(fit, F.col("kind"))).alias("kind"))
     # entities: those with an identifier, and frequent names of none
-    known = cut_lineage(size.join(place, "entity_id").join(kinds, "entity_id").join(country, "entity_id", "left").select("entity_id", "place", "kind", "home", "size"))
+    known = size.join(place, "entity_id").join(kinds, "entity_id", "left").join(country, "entity_id", "left").select("entity_id", "place", F.coalesce("kind", F.lit("")).alias("kind"), "home", "size")
+    known = cut_lineage(known)
     proper_words = cut_lineage(words.join(common, "w", "left_anti").join(open_.select("name").distinct(), "name"))
     sources = mentions.where((F.length("name") > 0) & (F.coalesce("entity_id", F.lit("")) == "")).select("name", "source", F.nullif("country", F.lit("")).alias("home")).distinct()
-    nameless = proper_words.join(sources, "name").join(own_kind, "name").groupBy(F.col("w").alias("place"), "kind").agg(F.count_distinct("source").alias("size"), F.max("home").alias("home")).where("size > 1")
-    nameless = nameless.join(known.select("place", "kind"), ["place", "kind"], "left_anti").join(proper.join(kinds, "entity_id").select(F.col("w").alias("place"), "kind").distinct(), ["place", "kind"], "left_anti")
+    nameless = proper_words.join(sources, "name").join(own, "name").groupBy(F.col("w").alias("place"), "kind").agg(F.count_distinct("source").alias("size"), F.max("home").alias("home")).where("size > 1")
+    nameless = nameless.join(known.select("place", "kind"), ["place", "kind"], "left_anti").join(proper.join(known.select("entity_id", "kind"), "entity_id").select(F.col("w").alias("place"), "kind").distinct(), ["place", "kind"], "left_anti")
+    # a proper name alone does not tell of another organisation
+    nameless = nameless.where("kind <> ''").unionByName(nameless.where("kind = ''").join(known.select("place").distinct(), "place", "left_anti"))
+    # nor does a rare spelling close to the name of a far more frequent one of its kind
+    nameless = cut_lineage(nameless)
+    close = close_words(nameless.select(F.col("place").alias("a")), known.select(F.col("place").alias("b"))).where("d > 0").select(F.col("a").alias("place"), F.col("b").alias("near"))
+    typos = nameless.select("place", "kind", "size").join(close, "place").join(known.select(F.col("place").alias("near"), "kind", F.col("size").alias("of")), ["near", "kind"]).where(F.col("of") >= far * F.col("size")).select("place", "kind").distinct()
+    nameless = nameless.join(typos, ["place", "kind"], "left_anti")
     entities = cut_lineage(known.unionByName(nameless.withColumn("entity_id", F.lit(None).cast("string"))))
     # the channel
     near = close_words(proper_words.select(F.col("w").alias("a")), entities.select(F.col("place").alias("b")))
@@ -176,18 +200,25 @@ def attribute_organisations(mentions: DataFrame, spread: int = 6, settled: int =
     observed = proper.join(size, "entity_id").join(known.select("entity_id", "place"), "entity_id").where(F.levenshtein("w", "place", 3) >= 0).select("entity_id", "w", F.log(F.col("n") / F.col("size")).alias("observed"))
     seen_so = proper_words.join(observed, "w").join(known, "entity_id").select("name", "place", "kind", "home", "size", "entity_id", F.col("observed").alias("typed"))
     pairs = typed.select("name", "place", "kind", "home", "size", "entity_id", "typed").unionByName(seen_so)
-    pairs = pairs.groupBy("name", "place", "kind", "entity_id").agg(F.max("typed").alias("typed"), F.first("home", True).alias("home"), F.max("size").alias("size")).join(kind_scores, ["name", "kind"])
-    pairs = cut_lineage(pairs)
+    pairs = pairs.groupBy("name", "place", "kind", "entity_id").agg(F.max("typed").alias("typed"), F.first("home", True).alias("home"), F.max("size").alias("size"))
+    pairs = pairs.join(held, "name").join(rest, "kind", "left").join(kind_scores.drop("over"), ["name", "kind"], "left")
+    by_words = F.when(F.col("kind") == "", F.when(F.col("held") == 0, 0.0)).otherwise(F.coalesce("kind_score", plain_score))
+    pairs = cut_lineage(pairs.withColumn("kind_score", by_words).where("kind_score IS NOT NULL").drop("held", "lp0", "bare"))
     named = open_.select("name", "country").distinct().join(pairs, "name")
     abroad = F.when(F.col("country") != F.col("home"), -foreign).otherwise(0.0)
     named = named.withColumn("score", F.log(F.col("size").cast("double")) + F.col("typed") + F.col("kind_score") + F.coalesce(abroad, F.lit(0.0)))
     best = named.groupBy("name", "country").agg(
         F.max_by(F.struct("entity_id", "score", "kind_score"), F.struct("score", F.coalesce("entity_id", F.lit("")), "place")).alias("best"), F.max("score").alias("top"), F.collect_list("score").alias("scores")
     )
-    best = best.join(kind_scores.groupBy("name").agg(F.max("kind_score").alias("own")), "name")
+    best = best.join(own.select("name", "own"), "name")
     none = F.exp(F.col("own") + unknown - F.col("top"))
     total = F.aggregate("scores", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
-    return best.where(F.col("best.entity_id").isNotNull()).select("name", "country", F.col("best.entity_id").alias("entity_id"), (1 / (total + none)).alias("posterior")).where("posterior >= 0.5")
+    best = best.where(F.col("best.entity_id").isNotNull()).select("name", "country", F.col("best.entity_id").alias("entity_id"), (1 / (total + none)).alias("posterior")).where("posterior >= 0.5")
+    # names of common words only, by their very words
+    worded = lambda d: d.where(F.size("words") > 0).withColumn("all_words", F.array_join(F.array_sort("words"), " "))
+    exact = worded(resolved).groupBy("all_words").agg(F.count_distinct("entity_id").alias("k"), F.max("entity_id").alias("entity_id"), F.sum("n").alias("n")).where("k = 1")
+    rest_ = worded(open_).join(proper_words.select("name").distinct(), "name", "left_anti").join(exact.select("all_words", F.col("entity_id").alias("found"), F.col("n").alias("seen")), "all_words")
+    return best.unionByName(rest_.groupBy("name", "country").agg(F.max("found").alias("entity_id"), F.max(F.col("seen") / (F.col("seen") + 1)).alias("posterior")))
 
 
 def learn_nicknames(exact: DataFrame) -> DataFrame:

@@ -46,3 +46,22 @@ def test_kept_ledger(spark, tmp_path):
     assert {r[2] for k, r in two.items() if k[0] == "n" and r[1] < 3} == {0.5}  # frozen
     assert {r[2] for k, r in two.items() if r[1] >= 3} == {0.01}
     assert update_ledger(more, path, halving_rates()).count() == 110
+
+
+def test_two_runs_at_once_write_no_key_twice(spark, tmp_path, monkeypatch):
+    from corvelo.llm import sample
+
+    path, rate = str(tmp_path / "ledger"), halving_rates(0.5)
+    d = spark.createDataFrame([(f"k{n}", 0, n) for n in range(50)], "key string, epoch int, seq int")
+    real, calls = sample.new_lines, []
+
+    def late(records, *rest):  # another run gets in while the first is being drawn
+        calls.append(1)
+        if len(calls) == 1:
+            update_ledger(d.where("seq < 30"), path, rate)
+        return real(records, *rest)
+
+    monkeypatch.setattr(sample, "new_lines", late)
+    got = update_ledger(d, path, rate)
+    assert got.count() == got.select("key").distinct().count() == 50 and len(calls) == 3
+    assert not [p for p in (tmp_path / "ledger").iterdir() if p.name.startswith("_")]
