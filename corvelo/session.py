@@ -9,6 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: After so many cuts the driver collects its garbage: shuffle files and broadcasts of plans that are done with go
+#: only then, and the plans themselves pile up in its memory.
+TIDY = 6
+_cuts = [0]
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", name: str = "corvelo") -> SparkSession:
     """A single-machine session for tests and benchmarks; a cluster brings its own session."""
     return (
@@ -66,6 +72,9 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = shared_path(spark, "cut")
     frame.write.parquet(path)
+    _cuts[0] += 1
+    if _cuts[0] % TIDY == 0:
+        spark._jvm.System.gc()
     written = spark.read.schema(frame.schema).parquet(path)
     written._cut = path
     return written
