@@ -287,7 +287,7 @@ def attribute_people(mentions: DataFrame, profiles: DataFrame, typo: float = 3.0
     # persons without a profile: full names in the usual order
     full = rows.where((F.size("words") > 1) & (F.length(F.element_at("words", 1)) > 2) & (F.length(last) > 2)).select(F.element_at("words", 1).alias("given"), middle_of(F.col("words")).alias("middle"), last.alias("surname"), "n")
     givens = people.select("given").distinct()
-    others = full.groupBy("given", "surname").agg(F.sum("n").alias("size"), F.max_by("middle", "n").alias("middle")).where("size > 1")
+    others = full.groupBy("given", "surname").agg(F.sum("n").alias("size"), F.max_by("middle", F.struct("n", "middle")).alias("middle")).where("size > 1")
     others = others.join(givens, "given", "left_semi").join(people.select("given", "surname"), ["given", "surname"], "left_anti")
     others = others.join(people.select(F.col("given").alias("surname")).distinct(), "surname", "left_anti")
     persons = cut_lineage(people.unionByName(others.select(F.lit(None).cast(people.schema["entity_id"].dataType).alias("entity_id"), "given", "middle", "surname", "size")))

@@ -50,3 +50,16 @@ def test_short_forms_with_the_first_letters_are_learnt(spark):
 
 def test_query(spark, folder):
     assert Q.p2_found(spark, folder).columns == ["field", "seq", "pos", "entity_id"]
+
+
+def test_rare_kinds_and_near_spellings(spark):
+    """A set of words that only adds to a common one is no kind; a rare spelling near a frequent name is a typing error;
+    a name of common words only goes by its very words."""
+    places = [f"{a}{b}olm" for a in ("Kar", "Vin", "Tes", "Mor", "Lud", "Bran") for b in ("dan", "fel", "gri", "hus")]
+    rows = [(f"State University of {p}", "BR", f"I{k}", f"s{k}-{n}") for k, p in enumerate(places) for n in range(30 if k == 0 else 6)]
+    rows += [(f"State Univ. University of {p}", "BR", f"J{k}", f"j{k}-{n}") for k, p in enumerate(("Zapfern", "Quorvik")) for n in range(6)]
+    rows += [("Kardanolm State Univ.", "BR", "I0", "a1"), ("State University", "BR", "K1", "a2")]
+    open_ = [("State Univ. University of Kardanolm", "BR", None, "o1"), ("State University of Kardanolmm", "BR", None, "o2"), ("University of Kardanolmm State", "BR", "", "o3"), ("University State", "BR", None, "o4"), ("State University of Nowhereville", "BR", None, "o5"), (None, None, None, "o6")]
+    d = spark.createDataFrame(rows + open_, "name string, country string, entity_id string, source string")
+    got = {r["name"]: r.entity_id for r in attribute_organisations(d).collect()}
+    assert got == {"State Univ. University of Kardanolm": "I0", "State University of Kardanolmm": "I0", "University of Kardanolmm State": "I0", "University State": "K1"}
