@@ -46,7 +46,7 @@ class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
 
 def word_letters(text: str, low: int, high: int) -> str:
     """SQL of the runs of `low` to `high` letters inside words, a space before and after each word."""
-    words = rf"filter(split(regexp_replace(lower({text}), '(?U)\\\\W+', ' '), ' '), w -> w <> '')"
+    words = rf"filter(split(regexp_replace(lower({text}), '(?U)\\W+', ' '), ' '), w -> w <> '')"
     runs = ", ".join(f"transform(sequence(1, greatest(length(w) - {n - 1}, 1)), i -> substring(w, i, {n}))" for n in range(low, high + 1))
     return f"flatten(transform(transform({words}, w -> concat(' ', w, ' ')), w -> concat({runs})))"
 

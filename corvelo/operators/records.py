@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvelo.functions.text import let, organisation_keys
+from corvelo.functions.text import iso_date, let, organisation_keys
 from corvelo.functions.vocabulary import NON_AUTHOR_ORGANIZATIONS
 from corvelo.operators.checks import require_covered
 
@@ -202,3 +202,36 @@ def training_hash(frame: DataFrame, columns: list[str]) -> DataFrame:
     """One row: a hash of training rows that does not depend on their order."""
     line = F.conv(F.substring(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), 1, 12), 16, 10).cast("decimal(20,0)")
     return frame.agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(line), F.lit(0)).cast("string")), 256).alias("training_hash"))
+
+
+def without_country(frame: DataFrame, affiliations: str = "affiliations") -> DataFrame:
+    """Records of which no affiliation has a country; null and empty lists count."""
+    return frame.where(~F.exists(F.coalesce(affiliations, F.array()), lambda a: F.coalesce(a["country_code"], F.lit("")) != ""))
+
+
+def between_dates(frame: DataFrame, day: str, first: str, last: str, filled: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows whose text date lies between two days, both included, and whose `filled` columns are not blank;
+    dates that are none leave a row out."""
+    inside = iso_date(F.col(day)).between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
+    for c in filled:
+        inside = inside & (F.trim(F.col(c)) != "")
+    return frame.where(inside)
+
+
+def distinct_ids(frames: list[DataFrame], column: str, where: Column | None = None) -> DataFrame:
+    """The distinct trimmed ids, blanks left out, of one column across frames."""
+    whole = None
+    for frame in frames:
+        part = (frame.where(where) if where is not None else frame).select(F.trim(column).alias(column)).where(F.col(column) != "")
+        whole = part if whole is None else whole.unionByName(part)
+    return whole.distinct()
+
+
+def next_revision(current: DataFrame, edits: DataFrame, keys: list[str], revision: str = "revision") -> tuple[DataFrame, DataFrame]:
+    """(rows after the edits, refused edits). An edit holds the revision it was made on; it replaces the row and
+    counts one up where that is still the row's, and is refused otherwise. Of several edits on one revision the
+    smallest row counts, the others are refused."""
+    first = first_per_key(edits.join(current.select(*keys, revision), [*keys, revision]), [*keys, revision], [])
+    taken = first.select(current.columns).withColumn(revision, F.col(revision) + 1)
+    rest = edits.exceptAll(first.select(edits.columns))
+    return replace_group(current, taken, keys), rest

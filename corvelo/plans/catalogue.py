@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvelo.plans import counting, judging, matching, records, texts
+from corvelo.plans import counting, further, judging, matching, records, texts
 
-_MODULES = (counting, records, texts, judging, matching)
+_MODULES = (counting, records, texts, judging, matching, further)
 
 
 def queries() -> dict:

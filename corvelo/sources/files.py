@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,18 +56,42 @@ def read_many(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def write_json_lines(frame: DataFrame, path: str, mode: str = "error") -> int:
-    """Writes JSON lines and returns how many, counted in the same pass."""
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    frame.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).option("ignoreNullFields", False).json(path)
-    return seen.get["n"]
+    """Writes JSON lines and returns how many lines there are at `path`. (Counted in what was written: an
+    observation of the write would stay with the session and keep trained pipelines from running in it.)"""
+    frame.write.mode(mode).option("ignoreNullFields", False).json(path)
+    return frame.sparkSession.read.text(path).count()
 
 
 def write_csv(frame: DataFrame, path: str, columns: tuple[str, ...] | None = None) -> None:
-    """CSV with a header in a fixed order of columns; raises for no rows."""
+    """CSV with a header in a fixed order of columns; raises for no rows. What is at `path` stays until the
+    new table is whole, see `replace_table`."""
     rows = require_rows(frame)
-    (rows.select(*columns) if columns else rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    replace_table(rows.select(*columns) if columns else rows, path, lambda w: w.option("header", True).option("escape", '"').csv)
+
+
+def replace_table(frame: DataFrame, path: str, writer: Callable) -> None:
+    """Writes a table aside and puts it in the place of the one at `path` by renaming. A failure before that
+    leaves the old table, one between the two renamings puts it back. `frame` may read from `path`.
+    `writer` makes of a DataFrameWriter a function of the path."""
+    spark = frame.sparkSession
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    target = Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    tag = uuid.uuid4().hex
+    fresh, old = (Path(target.getParent(), f"_{target.getName()}-{kind}-{tag}") for kind in ("new", "old"))
+    try:
+        writer(frame.write)(fresh.toString())
+        had = files.exists(target)
+        if had and not files.rename(target, old):
+            raise OSError(f"cannot move {path} aside")
+        if not files.rename(fresh, target):
+            if had:
+                files.rename(old, target)
+            raise OSError(f"cannot put the new table at {path}")
+        if had:
+            files.delete(old, True)
+    finally:
+        files.delete(fresh, True)
 
 
 def write_manifest(spark: SparkSession, paths: list[str], out: str) -> DataFrame:
@@ -77,6 +105,41 @@ def write_manifest(spark: SparkSession, paths: list[str], out: str) -> DataFrame
     return manifest
 
 
+def write_bundle(spark: SparkSession, named: dict[str, str], folder: str, **about: str) -> DataFrame:
+    """Copies files (published name: source path) into a folder, compares the hash of every copy with its
+    source's, and writes source-manifest.json (`about` and the files) and SHA256SUMS beside them. Missing
+    sources are all named before anything is written; a differing copy raises. Returns the manifest
+    (published_file, source_artifact, bytes, sha256), a row a file of the bundle."""
+    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    at = lambda p: (Path(p).getFileSystem(hadoop), Path(p))
+    missing = [p for p in named.values() if not at(p)[0].exists(at(p)[1])]
+    if missing:
+        raise FileNotFoundError(f"missing inputs: {missing}")
+    for name, source in named.items():
+        jvm.org.apache.hadoop.fs.FileUtil.copy(*at(source), *at(f"{folder}/{name}"), False, True, hadoop)
+    hashed = lambda paths: {r.path: r for r in spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).collect()}
+    whole = lambda p: at(p)[0].makeQualified(at(p)[1]).toString()
+    sources, copies = hashed(list(named.values())), hashed([f"{folder}/{n}" for n in named])
+    rows = []
+    for name, source in named.items():
+        one, two = sources[whole(source)], copies[whole(f"{folder}/{name}")]
+        if one.sha256 != two.sha256:
+            raise RuntimeError(f"copied file hash mismatch: {name}")
+        rows.append((name, source, two.bytes, two.sha256))
+    fields = ("published_file", "source_artifact", "bytes", "sha256")
+
+    def put(name: str, text: str) -> None:
+        files, path = at(f"{folder}/{name}")
+        stream = files.create(path, True)
+        stream.write(text.encode())
+        stream.close()
+
+    put("source-manifest.json", json.dumps(about | {"files": [dict(zip(fields, r)) for r in rows]}, ensure_ascii=False, indent=2) + "\n")
+    put("SHA256SUMS", "".join(f"{r[3]}  {r[0]}\n" for r in rows))
+    return spark.createDataFrame(rows, "published_file string, source_artifact string, bytes bigint, sha256 string")
+
+
 def markdown_table(frame: DataFrame, columns: list[str], order: str) -> DataFrame:
     """One row `report`: a Markdown table of a small result."""
     line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))

@@ -85,3 +85,31 @@ def test_record_helpers(spark):
 def test_issue_page():
     page = '<div class="obj_article_summary"><h3 class="title"><a href="https://x/view/42">T</a></h3><div class="authors">Ana, Bo</div></div>'
     assert pages.issue_articles(page, "10.1/aies")[0]["doi"] == "10.1/aies.42"
+
+
+def test_revisions(spark):
+    now = spark.createDataFrame([("a", "x", 1), ("b", "y", 4)], "k string, v string, revision int")
+    edits = spark.createDataFrame([("a", "x2", 1), ("a", "x3", 1), ("b", "late", 3), ("c", "new", 1)], "k string, v string, revision int")
+    after, refused = R.next_revision(now, edits, ["k"])
+    assert sorted(tuple(r) for r in after.collect()) == [("a", "x2", 2), ("b", "y", 4)]
+    assert sorted(tuple(r) for r in refused.collect()) == [("a", "x3", 1), ("b", "late", 3), ("c", "new", 1)]
+
+
+def test_filters_with_odd_values(spark):
+    d = spark.createDataFrame([("2024-02-29", "a"), ("2024-02-30", "a"), ("2024-03", "a"), (None, "a"), ("2024-01-01", " "), ("2023-12-31", "a")], "day string, v string")
+    assert [r.day for r in R.between_dates(d, "day", "2024-01-01", "2024-12-31", ["v"]).collect()] == ["2024-02-29"]
+    ids = spark.createDataFrame([(" a ",), ("",), (None,), ("b",)], "id string")
+    assert sorted(r.id for r in R.distinct_ids([ids, ids], "id").collect()) == ["a", "b"]
+    kind = "k int, affiliations array<struct<country_code:string>>"
+    assert [r.k for r in R.without_country(spark.createDataFrame([(1, [("BR",)]), (2, [("",), (None,)]), (3, []), (4, None)], kind)).orderBy("k").collect()] == [2, 3, 4]
+
+
+def test_selection_stays_within_folds(spark):
+    from corvelo.operators import ml
+
+    rows = [(k, ("alpha beta red " if k % 2 else "gamma delta blue ") * (1 + k % 3) + f"w{k % 5}", float(k % 2)) for k in range(40)]
+    d = spark.createDataFrame(rows, "k int, t string, label double")
+    got = ml.nested_selection(d, "t", "label", "k", {"cost": [0.01]}, outer=2, inner=2).collect()
+    assert len(got) == 40 and len({r.k for r in got}) == 40 and all(r.predicted == (r.label == 1) for r in got)
+    runs = spark.createDataFrame([("Ab, c",)], "t string").selectExpr(f"{ml.word_letters('t', 3, 4)} AS r").first().r
+    assert set(runs) == {" ab", "ab ", " ab ", " c "}

@@ -77,3 +77,32 @@ def test_resume(spark, tmp_path):
         q = process_available(spark, source, rows.schema, lambda d: d.withColumn("w", F.col("v") + 1), out, str(tmp_path / "ck"), "request_id")
         q.awaitTermination()
     assert spark.read.parquet(out).count() == 3
+
+
+def test_replaced_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "t")
+    d = spark.createDataFrame([(1,), (2,)], "k int")
+    files.write_csv(d, path)
+    files.write_csv(spark.read.option("header", True).csv(path).where("k = 2"), path)  # reads what it replaces
+    assert [r.k for r in spark.read.option("header", True).csv(path).collect()] == ["2"]
+    with pytest.raises(Exception):
+        files.replace_table(d.select(F.raise_error(F.lit("broken")).alias("x")), path, lambda w: w.csv)
+    assert [r.k for r in spark.read.option("header", True).csv(path).collect()] == ["2"]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_bundle(spark, tmp_path):
+    import hashlib
+    import json
+
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    (tmp_path / "b.json").write_text("{}")
+    out = tmp_path / "out"
+    rows = files.write_bundle(spark, {"one.csv": str(tmp_path / "a.csv"), "two.json": str(tmp_path / "b.json")}, str(out), bundle_version="1.0").collect()
+    assert [(r.published_file, r.bytes) for r in rows] == [("one.csv", 4), ("two.json", 2)]
+    sums = (out / "SHA256SUMS").read_text().splitlines()
+    assert sums[0] == hashlib.sha256(b"x\n1\n").hexdigest() + "  one.csv"
+    held = json.loads((out / "source-manifest.json").read_text())
+    assert held["bundle_version"] == "1.0" and len(held["files"]) == 2 and (out / "two.json").read_text() == "{}"
+    with pytest.raises(FileNotFoundError, match="c.txt"):
+        files.write_bundle(spark, {"c": str(tmp_path / "c.txt")}, str(out))
