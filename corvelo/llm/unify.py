@@ -73,7 +73,15 @@ def fold_doubles(text: str) -> str:
 
 
 def unify_text(text: str) -> str:
-    """The consistent form of one text."""
+    """The consistent form of one text. Case folding may bring up letters that are folded in their turn (a
+    subscript iota becomes a letter), so the form is taken until it stays."""
+    form = _form(text)
+    while not form.isascii() and (again := _form(form)) != form:
+        form = again
+    return form
+
+
+def _form(text: str) -> str:
     if text.isascii():
         return _SPACE.sub(" ", text).strip(" ").casefold()
     text = unicodedata.normalize("NFKC", _IGNORABLE.sub("", text).translate(str.maketrans(HYPHENS)))

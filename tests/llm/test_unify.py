@@ -26,6 +26,10 @@ def test_form_is_stable(text):
     assert unify_text(once) == once
 
 
+def test_letters_that_folding_brings_up():
+    assert unify_text("A\u0345") == unify_text(unify_text("A\u0345")) == "ai"
+
+
 def test_frames(spark):
     d = spark.createDataFrame([(1, None, 7), (2, "", 7), (3, "a​b", 7), (3, "a​b", 7), (4, "x" * 100_000 + " y", 7)], "seq int, value string, unified int")
     assert sorted(r.seq for r in find_disguised(d).collect()) == [3, 3, 4]
