@@ -138,15 +138,9 @@ def preference_rate(spark: SparkSession, folder: str) -> DataFrame:
 SELECT l_orderkey, a || ' || ' || b AS model_pair, CASE WHEN qa = qb THEN 'tie' WHEN abs(qa - qb) < 3 THEN 'unstable' WHEN qa > qb THEN CAST(a AS VARCHAR) ELSE CAST(b AS VARCHAR) END AS preferred_model, qa = qb OR abs(qa - qb) >= 3 AS stable, CAST(2 AS BIGINT) AS orders_present FROM p""")
 def pairwise_stability(spark: SparkSession, folder: str) -> DataFrame:
     # the parts of an order compete on quantity; a close call goes to whichever is shown first
-    q = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
-    ordered = q.withColumn("model", F.lpad(F.col("l_partkey").cast("string"), 12, "0"))
-    jobs = E.judge_pairs(ordered, ["l_orderkey"], "model")
-    side = lambda s: ordered.select("l_orderkey", F.col("model").alias(f"model_{s}"), F.col("q").alias(f"q{s}"))
-    judged = jobs.join(side("a"), ["l_orderkey", "model_a"]).join(side("b"), ["l_orderkey", "model_b"])
-    winner = F.when(F.col("qa") == F.col("qb"), "tie").when(F.abs(F.col("qa") - F.col("qb")) < 3, "A").when(F.col("qa") > F.col("qb"), "A").otherwise("B")
-    decided = E.pairwise_decisions(judged.withColumn("winner", winner), ["l_orderkey", "model_pair"])
-    bare = lambda c: F.regexp_replace(c, r"\b0+(?=\d)", "")
-    return decided.withColumn("model_pair", bare("model_pair")).withColumn("preferred_model", bare("preferred_model"))
+    parts = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    winner = lambda a, b: F.when(a["q"] == b["q"], "tie").when(F.abs(a["q"] - b["q"]) < 3, "A").when(a["q"] > b["q"], "A").otherwise("B")
+    return E.decide_pairs(parts, ["l_orderkey"], "l_partkey", winner)
 
 
 @query("""WITH r AS (SELECT l_linestatus AS a, CASE WHEN l_returnflag = 'N' THEN 'O' ELSE 'F' END AS b FROM lineitem), t AS (SELECT count(*) AS n, count(*) FILTER (a = b) / count(*) AS agreement FROM r),

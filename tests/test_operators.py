@@ -181,6 +181,17 @@ def test_pairwise_stability(spark):
     assert rows(evaluate.pairwise_decisions(j, ["seg"])) == [("s", "y", True, 2), ("u", "unstable", False, 2)]
 
 
+def test_pairs_are_decided_without_shuffling_judgments(spark, folder):
+    from corvelo.plans.judging import pairwise_stability
+
+    c = spark.createDataFrame([("g", 1, 5.0), ("g", 2, 5.0), ("g", 3, 6.0), ("g", 10, 20.0), ("h", 1, 1.0)], "g string, m int, q double")
+    winner = lambda a, b: F.when(a["q"] == b["q"], "tie").when(F.abs(a["q"] - b["q"]) < 3, "A").when(a["q"] > b["q"], "A").otherwise("B")
+    both = [("1 || 10", "10", True), ("1 || 2", "tie", True), ("1 || 3", "unstable", False), ("2 || 10", "10", True), ("2 || 3", "unstable", False), ("3 || 10", "10", True)]
+    assert rows(evaluate.decide_pairs(c, ["g"], "m", winner)) == [("g", *x, 2) for x in both]
+    plan = pairwise_stability(spark, folder)._jdf.queryExecution().sparkPlan().toString(), pairwise_stability(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan[0] and plan[0].count("Join") == 1 and "Exchange" not in plan[1].split("Join")[0]
+
+
 def test_agreement_and_penalties(spark):
     d = spark.createDataFrame([("a", "a"), ("b", "b"), ("a", "a"), ("a", "b")], "l string, r string")
     k = evaluate.cohen_kappa(d, "l", "r").first()
