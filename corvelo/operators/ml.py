@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
@@ -12,11 +15,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from corvelo.session import cut_lineage, drop_cut
+from corvelo.session import cut_lineage, cut_size, drop_cut
+
+#: Bytes of written features in a part that a classifier reads at once.
+PART = 16 * 2**20
 
 
 def feature_text(title: Column, abstract: Column, rules: Column, venue: Column | None = None) -> Column:
@@ -51,22 +57,46 @@ def word_letters(text: str, low: int, high: int) -> str:
     return f"flatten(transform(transform({words}, w -> concat(' ', w, ' ')), w -> concat({runs})))"
 
 
-def text_pipeline(text: str, label: str, kind: str = "logistic", vocabulary: int = 20_000, weight: str = "weight", letters: tuple[int, int] | None = (3, 5), min_df: float = 2, max_df: float = 0.98, cost: float = 0.003, rounds: int = 20, depth: int = 4) -> Pipeline:
-    """Words and word pairs, and runs of `letters` inside words unless None; TF-IDF of 1 + log n counts, each of the
-    `vocabulary` most frequent terms within `min_df` rows and the share `max_df`; class-weighted logistic regression
-    (`cost` is the regularisation) or boosted trees (`rounds`, `depth`)."""
+def token_stages(text: str, letters: tuple[int, int] | None = (3, 5)) -> list[Transformer]:
+    """Words and word pairs (`_terms`), and runs of `letters` inside words (`_letters`) unless None; nothing is fitted."""
     tokens = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2)
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
-    both = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
-    stages, sets = [tokens, pairs, both], [("_terms", max_df)]
+    stages = [tokens, pairs, SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")]
     if letters:
         stages.append(SQLTransformer(statement=f"SELECT *, {word_letters(text, *letters)} AS _letters FROM __THIS__"))
-        sets.append(("_letters", float(2**31)))
+    return stages
+
+
+def vector_stages(letters: tuple[int, int] | None = (3, 5), vocabulary: int = 20_000, min_df: float = 2, max_df: float = 0.98) -> list:
+    """TF-IDF (`features`) of 1 + log n counts of the tokens, each of the `vocabulary` most frequent terms within
+    `min_df` rows and the share `max_df`."""
+    stages, sets = [], [("_terms", max_df), *([("_letters", float(2**31))] if letters else [])]
     for c, most in sets:
         stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_counts", vocabSize=vocabulary, minDF=min_df, maxDF=most), LogCounts(inputCol=f"{c}_counts", outputCol=f"{c}_logs"), IDF(inputCol=f"{c}_logs", outputCol=f"{c}_idf"), Normalizer(inputCol=f"{c}_idf", outputCol=f"{c}_unit")]
-    whole = VectorAssembler(inputCols=[f"{c}_unit" for c, _ in sets], outputCol="features")
-    last = LogisticRegression(labelCol=label, weightCol=weight, regParam=cost, maxIter=50) if kind == "logistic" else GBTClassifier(labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=depth, seed=42)
-    return Pipeline(stages=[*stages, whole, last])
+    return [*stages, VectorAssembler(inputCols=[f"{c}_unit" for c, _ in sets], outputCol="features")]
+
+
+def classifier(label: str, kind: str = "logistic", weight: str = "weight", cost: float = 0.003, rounds: int = 20, depth: int = 4) -> LogisticRegression | GBTClassifier:
+    """Class-weighted logistic regression (`cost` is the regularisation) or boosted trees (`rounds`, `depth`)."""
+    if kind == "logistic":
+        return LogisticRegression(labelCol=label, weightCol=weight, regParam=cost, maxIter=50)
+    return GBTClassifier(labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=depth, seed=42)
+
+
+#: The parameters of `vector_stages`; the others are those of `classifier`.
+_OF_VECTORS = ("letters", "vocabulary", "min_df", "max_df")
+
+
+def _parted(parameters: dict) -> tuple[dict, dict]:
+    """Parameters of the vectors and those of the classifier."""
+    return {k: v for k, v in parameters.items() if k in _OF_VECTORS}, {k: v for k, v in parameters.items() if k not in _OF_VECTORS}
+
+
+def text_pipeline(text: str, label: str, kind: str = "logistic", **parameters) -> Pipeline:
+    """`token_stages`, `vector_stages` and `classifier` with their parameters."""
+    of_vectors, of_classifier = _parted(parameters)
+    letters = of_vectors.get("letters", (3, 5))
+    return Pipeline(stages=[*token_stages(text, letters), *vector_stages(**of_vectors), classifier(label, kind, **of_classifier)])
 
 
 def balanced(frame: DataFrame, label: str) -> DataFrame:
@@ -77,24 +107,75 @@ def balanced(frame: DataFrame, label: str) -> DataFrame:
     return frame.join(F.broadcast(weights), label)
 
 
+def tokenized(frame: DataFrame, text: str, keep: list[str], letters: tuple[int, int] | None = (3, 5)) -> DataFrame:
+    """`keep` and the tokens of the text, written once in as many parts as there are tasks at a time."""
+    session = frame.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    rows = PipelineModel(token_stages(text, letters)).transform(frame.select(*keep, text).repartition(tasks))
+    return cut_lineage(rows.select(*keep, "_terms", *(["_letters"] if letters else [])))
+
+
+def _vectors(tokens: DataFrame, label: str, **parameters) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """Fitted `vector_stages`, the written features, labels and weights of the rows, and the same in as few
+    parts as their bytes ask for: a classifier reads them some fifty times, and each turn costs by the part and
+    by what stands before it."""
+    fitted = Pipeline(stages=vector_stages(**parameters)).fit(tokens)
+    written = cut_lineage(fitted.transform(balanced(tokens, label)).select("features", label, "weight"))
+    return fitted, written, written.coalesce(max(1, -(-cut_size(written) // PART)))
+
+
+def _at_once(do: Callable, items: list, threads: int) -> list:
+    """`do` of every item, some at a time, as small fits wait for the driver most of the time."""
+    session = SparkSession.getActiveSession()
+    with ThreadPool(max(1, min(threads, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(session)(do) if session else do, items, chunksize=1)
+
+
 def train(frame: DataFrame, text: str, label: str, kind: str = "logistic", **parameters) -> PipelineModel:
-    """A fitted pipeline. The rows are written once, as every stage of the fit reads them again."""
-    rows = cut_lineage(balanced(frame.select(text, label), label))
-    model = text_pipeline(text, label, kind, **parameters).fit(rows)
-    drop_cut(rows)
-    return model
+    """A fitted pipeline. Tokens and features are written once, as the stages of the fit read them again."""
+    of_vectors, of_classifier = _parted(parameters)
+    letters = of_vectors.get("letters", (3, 5))
+    tokens = tokenized(frame, text, [label], letters)
+    fitted, written, features = _vectors(tokens, label, **of_vectors)
+    last = classifier(label, kind, **of_classifier).fit(features)
+    drop_cut(tokens, written)
+    return PipelineModel([*token_stages(text, letters), *fitted.stages, last])
 
 
 def score(model: PipelineModel, frame: DataFrame, keep: list[str]) -> DataFrame:
     return model.transform(frame).select(*keep, vector_to_array("probability")[1].alias("probability"))
 
 
+def _scored_apart(seen: DataFrame, unseen: DataFrame, label: str, keep: list[str], kind: str, combinations: list[dict]) -> list[DataFrame]:
+    """Tokenized rows `unseen` scored by models of the tokenized rows `seen`, for each of the combinations of
+    parameters; those that differ in the classifier only share their vectors."""
+    found, made = [], {}
+    for parameters in combinations:
+        of_vectors, of_classifier = _parted(parameters)
+        at = repr(sorted(of_vectors.items()))
+        if at not in made:
+            fitted, written, features = _vectors(seen, label, **of_vectors)
+            made[at] = written, cut_lineage(fitted.transform(unseen).select(*keep, "features")), features
+        _, others, features = made[at]
+        last = classifier(label, kind, **of_classifier).fit(features)
+        found.append(cut_lineage(last.transform(others).select(*keep, vector_to_array("probability")[1].alias("probability"))))
+    drop_cut(*(frame for written, others, _ in made.values() for frame in (written, others)))
+    return found
+
+
+def _cross_scored(tokens: DataFrame, label: str, fold: str, keep: list[str], kind: str, combinations: list[dict]) -> list[DataFrame]:
+    """`cross_scored` of tokenized rows for each combination of parameters."""
+    names = [k for (k,) in tokens.where(F.col(fold).isNotNull()).select(fold).distinct().orderBy(fold).collect()]
+    parts = _at_once(lambda k: _scored_apart(tokens.where(F.col(fold) != k), tokens.where(F.col(fold) == k), label, keep, kind, combinations), names, 4)
+    return [reduce(DataFrame.unionByName, of_one) for of_one in zip(*parts)]
+
+
 def cross_scored(frame: DataFrame, text: str, label: str, fold: str, keep: list[str], kind: str = "logistic", **parameters) -> DataFrame:
-    """Every row scored by a model that did not see its fold; the folds' names are few."""
-    scored = None
-    for (k,) in frame.select(fold).distinct().orderBy(fold).collect():
-        part = score(train(frame.where(F.col(fold) != k), text, label, kind, **parameters), frame.where(F.col(fold) == k), keep)
-        scored = part if scored is None else scored.unionByName(part)
+    """Every row scored by a model that did not see its fold; the folds' names are few. Tokens are written once
+    for all folds."""
+    tokens = tokenized(frame, text, list(dict.fromkeys([*keep, label, fold])), parameters.get("letters", (3, 5)))
+    scored = _cross_scored(tokens, label, fold, keep, kind, [parameters])[0]
+    drop_cut(tokens)
     return scored
 
 

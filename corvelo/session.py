@@ -80,6 +80,13 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return written
 
 
+def cut_size(frame: DataFrame) -> int:
+    """Bytes of the table of a frame that `cut_lineage` returned."""
+    spark = frame.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(frame._cut)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def drop_cut(*frames: DataFrame) -> None:
     """Deletes the tables of frames that `cut_lineage` returned and nothing uses any more."""
     for frame in frames:

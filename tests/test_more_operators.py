@@ -113,3 +113,17 @@ def test_selection_stays_within_folds(spark):
     assert len(got) == 40 and len({r.k for r in got}) == 40 and all(r.predicted == (r.label == 1) for r in got)
     runs = spark.createDataFrame([("Ab, c",)], "t string").selectExpr(f"{ml.word_letters('t', 3, 4)} AS r").first().r
     assert set(runs) == {" ab", "ab ", " ab ", " c "}
+
+
+def test_folds_share_tokens_and_costs_share_vectors(spark, monkeypatch):
+    from corvelo.operators import ml
+
+    rows = [(k, ("alpha beta red " if k % 3 else "gamma delta blue ") * (1 + k % 3) + f"w{k % 5}", float(k % 2), k % 2) for k in range(24)]
+    d = spark.createDataFrame(rows, "k int, t string, label double, fold int")
+    made = {"token_stages": 0, "vector_stages": 0}
+    for name in made:
+        monkeypatch.setattr(ml, name, lambda *a, _n=name, _f=getattr(ml, name), **b: (made.update({_n: made[_n] + 1}), _f(*a, **b))[1])
+    crossed = {r.k: r.probability for r in ml.cross_scored(d, "t", "label", "fold", ["k"]).collect()}
+    assert made == {"token_stages": 1, "vector_stages": 2}
+    apart = {r.k: r.probability for r in ml.score(ml.train(d.where("fold <> 1"), "t", "label"), d.where("fold = 1"), ["k"]).collect()}
+    assert len(crossed) == 24 and all(crossed[k] == pytest.approx(p, abs=1e-6) for k, p in apart.items())
