@@ -205,17 +205,28 @@ def nested_selection(frame: DataFrame, text: str, label: str, id_: str, grid: di
     hash order within `strata` (the label by default)."""
     from corvelo.operators.sampling import folds
     strata = strata or [label]
-    frame = cut_lineage(folds(frame.select(id_, text, *dict.fromkeys([label, *strata])), strata, id_, outer))
-    scored = None
+    combinations = [dict(zip(grid, values)) for values in product(*grid.values())]
+    # the folds of all turns are columns of one table, so that texts are taken apart once
+    rows = folds(frame.select(id_, text, *dict.fromkeys([label, *strata])), strata, id_, outer).withColumnRenamed("fold", "_outer")
+    rows = rows.withColumn("_inner", F.concat(F.lit("inner|"), F.col(id_).cast("string")))
     for k in range(outer):
-        rest = frame.where(F.col("fold") != k).drop("fold")
-        rest = cut_lineage(folds(rest.withColumn("_inner", F.concat(F.lit("inner|"), F.col(id_).cast("string"))), strata, "_inner", inner))
+        rows = folds(rows.withColumn("_rest", F.col("_outer") != k), [*strata, "_rest"], "_inner", inner).withColumnRenamed("fold", f"_inner_{k}")
+    keep = [*dict.fromkeys([id_, label]), "_outer", *(f"_inner_{k}" for k in range(outer))]
+    rows = cut_lineage(rows.select(*keep, text))
+    tokens = {letters: tokenized(rows, text, keep, letters) for letters in {c.get("letters", (3, 5)) for c in combinations}}
+
+    def turn(k: int) -> DataFrame:
         tried = []
-        for values in product(*grid.values()):
-            parameters = dict(zip(grid, values))
-            tried.append((best_threshold(cross_scored(rest, text, label, "fold", [id_, label], kind, **parameters), label), parameters))
+        for letters, of_all in tokens.items():
+            like = [c for c in combinations if c.get("letters", (3, 5)) == letters]
+            crossed = _cross_scored(of_all.where(F.col("_outer") != k), label, f"_inner_{k}", [id_, label], kind, like)
+            tried += [(best_threshold(of_one, label), parameters) for of_one, parameters in zip(crossed, like)]
+        tried.sort(key=lambda t: combinations.index(t[1]))  # of equal ones the first of the grid
         best, parameters = max(tried, key=lambda t: (min(t[0]["precision"], t[0]["recall"]), t[0]["f1"]))
-        part = score(train(rest, text, label, kind, **parameters), frame.where(F.col("fold") == k), [id_, label, "fold"])
-        part = part.withColumn("threshold", F.lit(best["threshold"])).withColumn("predicted", F.col("probability") >= best["threshold"])
-        scored = part if scored is None else scored.unionByName(part)
+        of_all = tokens[parameters.get("letters", (3, 5))]
+        part = _scored_apart(of_all.where(F.col("_outer") != k), of_all.where(F.col("_outer") == k), label, [id_, label, "_outer"], kind, [parameters])[0]
+        return part.withColumnRenamed("_outer", "fold").withColumn("threshold", F.lit(best["threshold"])).withColumn("predicted", F.col("probability") >= best["threshold"])
+
+    scored = reduce(DataFrame.unionByName, _at_once(turn, list(range(outer)), 2))
+    drop_cut(rows, *tokens.values())
     return scored

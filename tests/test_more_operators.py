@@ -127,3 +127,6 @@ def test_folds_share_tokens_and_costs_share_vectors(spark, monkeypatch):
     assert made == {"token_stages": 1, "vector_stages": 2}
     apart = {r.k: r.probability for r in ml.score(ml.train(d.where("fold <> 1"), "t", "label"), d.where("fold = 1"), ["k"]).collect()}
     assert len(crossed) == 24 and all(crossed[k] == pytest.approx(p, abs=1e-6) for k, p in apart.items())
+    made.update(token_stages=0, vector_stages=0)
+    got = ml.nested_selection(d.drop("fold"), "t", "label", "k", {"cost": [0.01, 0.1]}, outer=2, inner=2).collect()
+    assert len({r.k for r in got}) == len(got) == 24 and made == {"token_stages": 1, "vector_stages": 6}
