@@ -34,6 +34,33 @@ def blocked_pairs(left: DataFrame, right: DataFrame, key: str, blocks: list[Colu
     return pairs.withColumn("similarity", matching_ratio("_l", "_r")).where(F.col("similarity") >= least)
 
 
+def near_letters(left: list[str], right: list[str], most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of keys whose letters' counts (by code modulo 64) differ by `most` in all. Keys of a side
+    are of one length.
+
+    A bit tells whether a letter is there more than so many times, so the bits that two keys differ in are no more
+    than their counts' difference: the 64 bits that part the keys best rule most pairs out, 64 more
+    most of the others, and the counts themselves decide.
+    """
+
+    def counts(keys) -> np.ndarray:
+        codes = np.frombuffer("".join(keys).encode("utf-32-le"), dtype="<u4").reshape(len(keys), -1) % 64
+        at = np.arange(len(keys))[:, None] * 64 + codes
+        return np.bincount(at.ravel(), minlength=64 * len(keys)).reshape(len(keys), 64).astype("int32")
+
+    a, b = counts(left), counts(right)
+    some = np.concatenate([a[:: max(1, len(a) // 32)], b[:: max(1, len(b) // 32)]])
+    share = (some[:, :, None] > np.arange(16)).mean(axis=0).ravel()
+    best = np.argsort(-share * (1 - share), kind="stable")[:128]
+    bits = lambda c: np.ascontiguousarray(np.packbits(c[:, best // 16] > best % 16, axis=1)).view("uint64")
+    u, v = bits(a), bits(b)
+    x, y = np.divmod(np.flatnonzero(np.bitwise_count(u[:, 0][:, None] ^ v[:, 0][None, :]) <= min(int(most), 64)), len(right))
+    held = np.bitwise_count(u[x] ^ v[y]).sum(axis=1, dtype="int32") <= most
+    x, y = x[held], y[held]
+    held = np.abs(a[x] - b[y]).sum(axis=1) <= most
+    return x[held], y[held]
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, key: str, least: float, size: int = 500) -> DataFrame:
     """All pairs of keys (_l, _r, similarity) that reach `least`.
 
@@ -57,21 +84,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, key: str, least: float, siz
     packed = l.repartition(tasks, "_m").join(r.repartition(tasks, "_m"), "_m").select("_ls", "_rs")
 
     def near(frames):
-        def counts(keys) -> np.ndarray:
-            found = np.zeros((64, len(keys)), dtype="int16")
-            for k, text in enumerate(keys):
-                for c in text:
-                    found[ord(c) % 64, k] += 1
-            return found
-
         for frame in frames:
             for ls, rs in zip(frame["_ls"], frame["_rs"]):
-                a, b = counts(ls), counts(rs)
-                apart = np.zeros((len(ls), len(rs)), dtype="int16")
-                for c in range(64):
-                    if a[c].any() or b[c].any():
-                        apart += np.abs(a[c][:, None] - b[c][None, :])
-                x, y = np.nonzero(apart <= (1 - least) * (len(ls[0]) + len(rs[0])) + 1e-6)
+                x, y = near_letters(ls, rs, (1 - least) * (len(ls[0]) + len(rs[0])) + 1e-6)
                 yield pd.DataFrame({"_l": [ls[i] for i in x], "_r": [rs[j] for j in y]}, dtype="object")
 
     pairs = packed.mapInPandas(near, "_l string, _r string").where(F.expr(f"levenshtein(_l, _r, CAST(FLOOR({slack} * (length(_l) + length(_r))) AS INT)) >= 0"))

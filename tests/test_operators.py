@@ -256,6 +256,20 @@ def test_fuzzy_pairs_are_complete(spark):
     assert got == {(0, 0): "fuzzy", (1, 1): "fuzzy", (2, 5): "fuzzy", (4, 4): "exact"}
 
 
+def test_near_letters_lose_no_pair():
+    from collections import Counter
+
+    import numpy as np
+
+    random = np.random.default_rng(5)
+    for n, m, letters, most in ((30, 33, "abcdefgh é", 9.0), (8, 8, "ab", 0.5), (1, 1, "xyz", 1.0), (400, 380, "aaaaab\U0001f600", 62.4)):
+        left, right = ([''.join(random.choice(list(letters), k)) for _ in range(70)] for k in (n, m))
+        right[3:6] = [(x * 2)[:m] for x in left[3:6]]
+        apart = lambda x, y: sum(((c := Counter(chr(ord(z) % 64) for z in x)) - (d := Counter(chr(ord(z) % 64) for z in y))).values()) + sum((d - c).values())
+        brute = [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if apart(x, y) <= most]
+        assert brute and list(zip(*map(np.ndarray.tolist, matching.near_letters(left, right, most)))) == brute
+
+
 def test_cosine_search_looks_at_all_rows(spark):
     import numpy as np
 
