@@ -1,5 +1,10 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from corvelo.llm import queries as Q
-from corvelo.llm.variants import attribute_organisations, attribute_people, edits
+from corvelo.llm.variants import UNLIKELY, attribute_organisations, attribute_people, close_words, edits, given_likelihood
 
 ORG = "name string, country string, entity_id string, source string"
 
@@ -8,6 +13,61 @@ def test_edits():
     assert edits("abc", "acb") == 1 and edits("", "ab") == 2 and edits("kitten", "sitting") == 3 and edits("x", "x") == 0
 
 
+def plain_edits(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
+            row.append(min(best, rows[-2][j - 2] + 1) if i > 1 < j and (x, a[i - 2]) == (b[j - 2], y) else best)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def test_edits_without_common_ends():
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abc", k=draw.randrange(8))) for _ in range(150)]
+    assert all(edits(a, b) == plain_edits(a, b) for a in words for b in words)
+
+
+def test_likelihood_of_given_names_needs_no_python(spark):
+    def one(u, g, others, m, n):
+        if not u:
+            return -6.0
+        first = UNLIKELY
+        if u == g:
+            first = 0.0
+        elif len(u) == 1:
+            first = -1.2 if g.startswith(u) else UNLIKELY
+        elif n or g.startswith(u) or len(u) >= 3 and g.endswith(u):
+            first = -2.5
+        elif min(len(u), len(g)) >= 3 and (d := plain_edits(u, g)) <= (1 if len(g) < 8 else 2):
+            first = -3.0 * d
+        if others:
+            return first + ((0.0 if any(o[0] == m[0] for o in others) else -7.0) if m else -4.0 * len(others))
+        return first - (0.7 if m else 0.0)
+
+    given = ["ana", "eva", "ivo", "luca", "lucas", "raquel", "gabriela", "sebastian", "alexandre"]
+    draw = random.Random(7)
+    used = {None, "", "a", "g", "an", "aan", "nas", "nuca", "lcua", "el", "uel", "briela", "tian", *given}
+    for g in given:
+        for _ in range(40):
+            u = list(g)
+            for _ in range(draw.choice((1, 1, 2, 3))):
+                k = draw.randrange(len(u))
+                u[k : k + 2] = draw.choice((u[k : k + 2][::-1], u[k + 1 : k + 2], [u[k], "x", *u[k + 1 : k + 2]], ["y", *u[k + 1 : k + 2]])) or ["z"]
+            used.add("".join(u))
+    cases = [(u, g, o, m, n) for u in used for g in given for o, m, n in ((None, None, False), (["f"], "f", False), (["b", "frank"], "felix", False), (["c", "d"], None, False), ([], "k", True), ([], "", False))]
+    rows = spark.createDataFrame(cases, "used string, given string, middles array<string>, middle string, nick boolean")
+    near = spark.createDataFrame([(u,) for u in used if u], "a string")
+    near = close_words(near, spark.createDataFrame([(g,) for g in given], "b string")).select(F.col("a").alias("used"), F.col("b").alias("given"), "d").where("d > 0")
+    near = spark.createDataFrame(near.collect(), near.schema)
+    scored = rows.join(near, ["used", "given"], "left").withColumn("score", given_likelihood(*(F.col(c) for c in ("used", "given", "middles", "middle", "nick", "d"))))
+    assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = scored.collect()
+    assert len(got) == len(cases) and all(r.score == pytest.approx(one(r.used, r.given, r.middles, r.middle, r.nick)) for r in got)
+
+
 def mentions():
     rows = []
     kinds = [("University of {}", ["Univ. of {}", "{}, University of"]), ("{} Institute of Technology", ["{} Inst. of Tech.", "{} IT"]), ("{} Central Hospital", ["Central Hosp. of {}", "{} Central Hosp."])]
